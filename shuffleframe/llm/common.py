@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,3 +66,81 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
     rest = low != np.arange(len(ids))
     return ids[rest], ids[low[rest]]
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words [^\\x20\\x09-\\x0D]+ of a whole text in UTF-8, A-Z in lower case, in blocks of about size bytes."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    at, n = 0, len(data)
+    while at < n:
+        to = n
+        if n - at > size and (blank := _BLANK.search(data, at + size)):
+            to = blank.start()
+        if words := data[at:to].split():
+            yield words
+        at = to
+
+
+def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of at least so many rows (but the last) that split no group of equal keys, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for part in batches:
+        if not part.num_rows:
+            continue
+        held.append(part)
+        rows += part.num_rows
+        if rows < least:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(rows, bool)
+        for k in keys:
+            column = whole.column(k).to_numpy()
+            last &= column == column[-1]
+        cut = int(rows - np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield whole.slice(0, cut)
+            held = whole.slice(cut).to_batches()
+            rows -= cut
+        else:
+            least = 2 * rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_numbers(*columns: np.ndarray) -> np.ndarray:
+    """The number of each row's group, of columns that are sorted."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def same_group_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same group, in blocks of pairs that are equally far apart."""
+    at, d, n = np.arange(len(group)), 0, len(group)
+    while True:
+        d += 1
+        at = at[at + d < n]
+        at = at[group[at] == group[at + d]]
+        if not len(at):
+            return
+        yield at, at + d
+
+
+def in_chunks(keyed: DataFrame, keys: list[str], chunk: int, spread: str) -> DataFrame:
+    """Rows whose keys occur more than once, dealt so that no group exceeds 2 * chunk rows and any two rows with equal keys meet in just one group.
+
+    Adds the columns own, low and high: a group of n rows falls into ceil(n / chunk) chunks by a hash of the column spread, own; a row goes to the groups (keys, low, high) of its chunk with each chunk. Rows of different chunks are to be compared where low < high, those of one chunk where low = high.
+    keyed must be cheap to compute twice or materialised. A group of more than chunk rows is never together in a task.
+    """
+    counted = materialise(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__chunks", F.ceil(F.col("__n") / chunk).cast("int")).drop("__n"))
+    joined = keyed.join(counted, keys)
+    many = F.col("__chunks") > 1
+    own = F.when(many, F.pmod(F.xxhash64(F.lit("chunk"), F.col(spread)), F.col("__chunks").cast("long")).cast("int")).otherwise(F.lit(0))
+    others = F.when(many, F.sequence(F.lit(0), F.col("__chunks") - 1)).otherwise(F.array(F.lit(0)))
+    return joined.withColumn("own", own).withColumn("__other", F.explode(others)).withColumn("low", F.least("own", "__other")).withColumn("high", F.greatest("own", "__other")).drop("__other", "__chunks")
