@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepiece_bpe, sharding, simhash
+from . import language_id, quality_pu, sentencepiece_bpe, sharding, simhash
 from .common import held_out, table
 
 
@@ -38,10 +38,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("learn", F.expr("not held_out"))
+    learnable = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
+    return quality_pu.classify(docs, learnable, learn="learn", keep=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
 }
 ORACLES: dict[str, str] = {}
