@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_pu, sentencepiece_bpe, sharding, simhash
+from . import decontaminate, language_id, quality_pu, sentencepiece_bpe, sharding, simhash
 from .common import held_out, table
 
 
@@ -44,11 +44,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.classify(docs, learnable, learn="learn", keep=["doc_id", "held_out"])
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {}
