@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_pu, sentencepiece_bpe, sharding, simhash
+from . import decontaminate, hmm_lm, language_id, quality_pu, sentencepiece_bpe, sharding, simhash
 from .common import held_out, table
 
 
@@ -48,6 +48,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 1))
+    return hmm_lm.score_documents(docs, held_out="held_out", keep=["held_out"]).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -55,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_hmm_scores": op10_hmm_scores,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,116 @@
+import itertools
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from shuffleframe.llm import hmm_lm as M
+from shuffleframe.llm.common import held_out
+
+
+def small_model(k=3, size=5, seed=1):
+    rng = np.random.default_rng(seed)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    return M.Model(norm(rng.random(k), 0), norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((size, k)), 0))
+
+
+def paths(model, tokens, start):
+    for path in itertools.product(range(len(start)), repeat=len(tokens)):
+        p = start[path[0]] * model.emit[tokens[0], path[0]]
+        for a, b, t in zip(path, path[1:], tokens[1:], strict=False):
+            p *= model.move[a, b] * model.emit[t, b]
+        yield path, p
+
+
+def test_forward_sums_all_paths(monkeypatch):
+    model = small_model()
+    rng = np.random.default_rng(2)
+    sequences = [rng.integers(0, 5, n).astype("<u2") for n in (1, 4, 7, 2, 7, 1)]
+    want = [math.log(sum(p for _, p in paths(model, s.tolist(), model.start))) for s in sequences]
+    assert np.allclose(M.log_likelihood(model, sequences), want)
+    monkeypatch.setattr(M, "CELLS", 3)
+    assert np.allclose(M.log_likelihood(model, sequences), want)
+    assert np.isfinite(M.log_likelihood(model, [np.zeros(200_000, "<u2")])).all()
+
+
+def test_expected_counts_against_paths():
+    model = small_model()
+    sequences, first = [np.array(x, "<u2") for x in ([0, 1, 2, 3], [4], [2, 2, 1])], np.array([True, False, True])
+    k, size = 3, 5
+    start, middle, move, emit, log = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0
+    for s, f in zip(sequences, first, strict=True):
+        s = s.tolist()
+        all_ = list(paths(model, s, model.start if f else model.middle))
+        total = sum(p for _, p in all_)
+        log += math.log(total)
+        for path, p in all_:
+            (start if f else middle)[path[0]] += p / total
+            for a, b in zip(path, path[1:], strict=False):
+                move[a, b] += p / total
+            for t, a in zip(s, path, strict=True):
+                emit[t, a] += p / total
+    assert np.allclose(M.expected_counts(model, sequences, first), np.concatenate([[log], start, middle, move.ravel(), emit.ravel()]))
+
+
+def test_training_raises_the_likelihood():
+    rng = random.Random(3)
+    data = [np.array([rng.choice((1, 2, 3)) if i % 2 else rng.choice((4, 5, 6)) for _ in range(30)] + [0], "<u2").tobytes() for i in range(60)]
+    sequences, first = M.segments(data)
+    share = np.bincount(np.concatenate(sequences), minlength=8) + 0.5
+    model = M.initial(share / share.sum(), 2)
+    logs = []
+    for _ in range(15):
+        counts = M.expected_counts(model, sequences, first)
+        logs.append(counts[0])
+        model = M.maximised(counts, 2, share / share.sum() * 1e-3)
+    assert all(b > a - 1 for a, b in itertools.pairwise(logs)) and logs[-1] > logs[0] + 100
+
+
+@pytest.mark.parametrize("own,shared,frequent", [(6, 3, 9), (3072, 1024, 65_536)])
+def test_scores(spark, own, shared, frequent):
+    rng = random.Random(6)
+    words = ["the", "of", "Ab", "ab", "é", "x" * 80, "rare1", "rare2", "q", "zz"]
+    rows = [(i, " ".join(rng.choices(words + [f"n{i}"], k=rng.randrange(0, 25)))) for i in range(60)] + [(100, None), (101, ""), (None, "the of"), (102, "the\x0bOF\n" * 3000), (3, "the"), (3, "the")]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, score string").withColumn("held_out", held_out("doc_id", 5, 1))
+    got = M.score_documents(docs, held_out="held_out", keep=["held_out"], states=2, rounds=1, own=own, shared=shared, frequent=frequent).collect()
+    assert len(got) == len(rows)
+    tokens = lambda t: [*"".join(c.lower() if c < "\x80" else c for c in t or "").split(), None]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter(x for i, t in rows if not out(i) for x in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((i is None, i or 0, out(i), len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t)), 6)) for i, t in rows)
+    assert sorted((r.id is None, r.id or 0, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert {r.train_tokens for r in got} == {n} and all(np.isfinite(r.score) and r.score < 0 for r in got)
+    assert len({r.score for r in got if r.id == 3 and r.n_tokens == 2}) == 1
+
+
+def test_probabilities_sum_to_one(spark):
+    """The next token's probabilities over all words, one unseen word for each shared class, sum to one."""
+    train = [(i, t) for i, t in enumerate(["a b c d", "a b e", "f g a", "h a b"] * 3)]
+    unseen = {}
+    for i in range(100):
+        unseen.setdefault(zlib.crc32(f"u{i}".encode()) % 2, f"u{i}")
+    one = [*"abcdefgh", *unseen.values()]
+    rows = [(1000 + i, t, True) for i, t in enumerate(["", *one])] + [(i, t, False) for i, t in train]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.id: 10**r.score for r in M.score_documents(docs, held_out="held", states=2, rounds=1, own=3, shared=2).collect()}
+    # P(end first) + sum over words of P(word first and whatever follows) = 1; here texts end after one word, so the sum stays below 1
+    assert 0 < sum(p for i, p in got.items() if i >= 1000) < 1
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in Counter(x for _, t in train for x in t.split()).items()] + [(M.END, len(train))], "word binary, c long")
+    vocab = M.vocabulary(counts, 3, 2)
+    inside = np.zeros(2)
+    for w in one:
+        k = vocab.frequent[w.encode()][0] if w.encode() in vocab.frequent else vocab.shared_class(w.encode())
+        if k >= 3:
+            inside[k - 3] += (vocab.frequent.get(w.encode(), (0, 0))[1] + 0.5) / vocab.shared_mass[k - 3]
+    assert np.allclose(inside, 1) and np.isclose(vocab.class_share.sum(), 1)
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert M.score_documents(docs).collect() == []
+    none = M.score_documents(spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, h boolean"), held_out="h").collect()[0]
+    assert (none.n_tokens, none.n_known, none.train_tokens, round(none.base_score, 9)) == (3, 0, 0, 0.0) and np.isfinite(none.score)
