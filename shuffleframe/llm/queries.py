@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, decontaminate, hmm_lm, language_id, quality_pu, sentencepiece_bpe, sharding, simhash
-from .common import held_out, table
+from . import cap_filters, decontaminate, hmm_lm, language_id, quality_pu, sentencepiece_bpe, sharding, simhash, warc
+from .common import held_out, shared_dir, table
 
 
 def piece_model() -> str:
@@ -33,6 +33,17 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    marked = warc.with_revisits(pages, "page_id", "payload", at_least=0)
+    name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+    path = shared_dir(spark)
+    warc.write_warc(marked.select("record_type", name("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.when(F.col("refers_to").isNotNull(), name("refers_to")).alias("refers_to"), "payload"), path)
+    found = warc.read_warc(spark, path, payload=False, verify=True).where("record_type in ('response', 'revisit')")
+    number = lambda c: F.expr(f"try_cast(substring({c}, 12) as bigint)")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -62,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
