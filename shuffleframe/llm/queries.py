@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, decontaminate, hmm_lm, language_id, quality_pu, sentencepiece_bpe, sharding, simhash, warc
+from . import cap_filters, decontaminate, hmm_lm, language_id, quality_pu, sentencepiece_bpe, sharding, simhash, token_counts, warc
 from .common import held_out, shared_dir, table
 
 
@@ -60,6 +60,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.classify(docs, learnable, learn="learn", keep=["doc_id", "held_out"])
 
 
+#: An id of the rank file's vocabulary that no text gives.
+END_OF_DOCUMENT = 50_256
+
+
+def byte_encoder():
+    """The encoder of the public byte-level vocabulary with 50 256 ranks."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_counts.write_token_files(table(spark, sf_dir, "documents"), shared_dir(spark), byte_encoder, END_OF_DOCUMENT)
+    found = token_counts.token_counts(written.select("file", "bytes"), END_OF_DOCUMENT)
+    return written.select(F.col("id").alias("doc_id"), "file", "ordinal").join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_hmm_scores": op10_hmm_scores,
 }
