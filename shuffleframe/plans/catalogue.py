@@ -1,10 +1,317 @@
-"""The toolkit's queries and the SQL that they are checked against."""
+"""The toolkit's queries over the test tables, and the SQL that each is held against.
+
+Queries about placement read where rows physically lie (partition and position), not a window that would sort again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import manifest
+from ..operators import aggregate, partition, runs, sorting
+from ..sources.store import ExchangeStore
+from ..storage import materialise, new_folder
+from .spec import ExchangeSpec, explain_strategy
+
+#: Partitions of most queries, and the rows of a batch.
+N, BATCH = 7, 1000
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(*columns)
+
+
+def _orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select(*columns)
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def _store(spark: SparkSession) -> ExchangeStore:
+    return ExchangeStore(spark, new_folder(spark, "store"), "queries", clear_on_close=False)
+
+
+def hash_partition_sizes(spark, d):
+    dealt = partition.exchange(_items(spark, d, "l_orderkey"), ExchangeSpec(("l_orderkey",), N))
+    return _long(partition.partition_sizes(dealt, include_empty=False), "reduce_id", "n_rows")
+
+
+def partition_sizes_with_empties(spark, d):
+    dealt = partition.exchange(_items(spark, d, "l_linenumber"), ExchangeSpec(("l_linenumber",), 11))
+    return _long(partition.partition_sizes(dealt, 11), "reduce_id")
+
+
+def skip_empty_partitions(spark, d):
+    dealt = partition.exchange(_items(spark, d, "l_linenumber"), ExchangeSpec(("l_linenumber",), 11))
+    return _long(partition.partition_sizes(dealt, 11).where("n_rows > 0"), "reduce_id")
+
+
+def round_robin_balance(spark, d):
+    sizes = partition.partition_sizes(partition.exchange(_items(spark, d, "l_orderkey"), ExchangeSpec((), 8, "round_robin")), 8)
+    report = partition.skew_report(sizes)
+    return report.select("partitions", "total_rows", (F.col("skew") < 1.1).alias("balanced"))
+
+
+def partition_range_read(spark, d):
+    dealt = partition.exchange(_items(spark, d, "l_orderkey", "l_partkey", "l_quantity"), ExchangeSpec(("l_orderkey",), N))
+    return partition.read_partitions(dealt, 2, 5)
+
+
+def reduce_by_key_sum(spark, d):
+    return aggregate.reduce_by_key(_items(spark, d, "l_orderkey", "l_quantity"), ["l_orderkey"], {"sum_qty": F.sum("l_quantity")}, order_by=["l_orderkey"])
+
+
+def reduce_by_key_max(spark, d):
+    return aggregate.reduce_by_key(_items(spark, d, "l_orderkey", "l_extendedprice"), ["l_orderkey"], {"max_price": F.max("l_extendedprice")})
+
+
+def reduce_by_key_count(spark, d):
+    return aggregate.reduce_by_key(_items(spark, d, "l_suppkey"), ["l_suppkey"], {"n": F.count(F.lit(1))})
+
+
+def ordered_aggregate(spark, d):
+    """Reduce-side pipeline: exchange, aggregate, sort within partitions; with each key's partition and place."""
+    sums = aggregate.reduce_by_key(partition.exchange(_items(spark, d, "l_partkey", "l_quantity"), ExchangeSpec(("l_partkey",), N)), ["l_partkey"], {"sum_qty": F.sum("l_quantity")})
+    dealt = sorting.partition_sort(sums, ["l_partkey"], N)
+    return _long(partition.placed(dealt), "partition", "position")
+
+
+def two_phase_aggregate(spark, d):
+    partial = _items(spark, d, "l_orderkey", "l_linenumber", "l_quantity").groupBy("l_orderkey", F.pmod("l_linenumber", F.lit(4)).alias("part")).agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+    return aggregate.merge_partials(partial, ["l_orderkey"], {"sum_qty": F.sum, "n": F.sum})
+
+
+def combine_by_key_avg(spark, d):
+    items = _items(spark, d, "l_partkey", "l_linenumber", "l_quantity")
+    create = {"s": F.sum("l_quantity"), "n": F.count("l_quantity")}
+    return aggregate.combine_by_key(items, ["l_partkey"], create, {"s": F.sum, "n": F.sum}, {"avg_qty": F.round(F.col("s") / F.col("n"), 6)}, parts=F.pmod("l_linenumber", F.lit(3)))
+
+
+def group_by_key_list(spark, d):
+    lists = aggregate.group_by_key(_items(spark, d, "l_orderkey", "l_partkey"), ["l_orderkey"], "l_partkey", "parts")
+    return lists.select("l_orderkey", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"))
+
+
+def cogroup_orders_lineitem(spark, d):
+    both = aggregate.cogroup(_orders(spark, d, F.col("o_orderkey").alias("k"), "o_custkey"), _items(spark, d, F.col("l_orderkey").alias("k"), "l_partkey"), ["k"], "o_custkey", "l_partkey")
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return both.select("k", join("left_values"), join("right_values"))
+
+
+def hash_collision_group(spark, d):
+    items = _items(spark, d, "l_partkey").withColumn("key", F.struct(F.pmod("l_partkey", F.lit(2)).alias("h"), F.col("l_partkey").alias("v")))
+    return aggregate.reduce_by_key(items, ["key"], {"n": F.count(F.lit(1))}).select("key.h", "key.v", "n")
+
+
+def null_key_group(spark, d):
+    items = _items(spark, d, "l_orderkey", "l_quantity").withColumn("k", F.expr("nullif(pmod(l_orderkey, 5), 0)"))
+    return aggregate.reduce_by_key(items, ["k"], {"n": F.count(F.lit(1)), "sum_qty": F.sum("l_quantity")})
+
+
+def struct_field_sum(spark, d):
+    items = _items(spark, d, "l_suppkey", "l_linenumber").withColumn("value", F.struct(F.col("l_linenumber").alias("v"), F.lit(10).alias("h")))
+    return aggregate.reduce_by_key(items, ["l_suppkey"], {"sum_v": F.sum("value.v"), "sum_h": F.sum("value.h")})
+
+
+def sort_within_partition(spark, d):
+    dealt = sorting.partition_sort(_orders(spark, d, "o_orderkey", "o_totalprice"), ["o_orderkey"], N, [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    return _long(partition.placed(dealt).select("o_orderkey", "partition", "position"), "partition", "position")
+
+
+def range_partition_sort(spark, d):
+    return partition.row_index(_orders(spark, d, "o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], N)
+
+
+def descending_sort(spark, d):
+    return partition.row_index(_orders(spark, d, "o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], N)
+
+
+def range_partition_disjoint(spark, d):
+    """Ranges of a global sort: none overlaps the next, none is out of order inside, no row is lost."""
+    dealt = materialise(partition.placed(sorting.sort_by_key(_orders(spark, d, "o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], n=5)))
+    ends = dealt.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o_custkey", "o_orderkey")).alias("low"), F.max(F.struct("o_custkey", "o_orderkey")).alias("high"), F.min_by(F.struct("o_custkey", "o_orderkey"), "position").alias("first"), F.max_by(F.struct("o_custkey", "o_orderkey"), "position").alias("last"))
+    # a row a partition from here on, five in all
+    over = ends.withColumn("overlaps", F.coalesce(F.col("low") <= F.lag("high").over(W.orderBy("partition")), F.lit(False)))
+    return over.agg(F.sum("n").alias("total_rows"), F.bool_and(F.expr("low = first and high = last")).alias("in_order"), F.count_if("overlaps").alias("n_overlaps"))
+
+
+def kway_merge(spark, d):
+    orders = _orders(spark, d, "o_orderkey", "o_totalprice")
+    merged = sorting.kway_merge([orders.where(F.pmod("o_orderkey", F.lit(4)) == i) for i in range(4)], ["o_totalprice", "o_orderkey"], N)
+    return partition.row_index(merged, ["o_totalprice", "o_orderkey"], N)
+
+
+def _map_lengths(spark, d):
+    return _items(spark, d, "l_linenumber", "l_orderkey").groupBy(F.col("l_linenumber").cast("long").alias("map_id"), F.pmod("l_orderkey", F.lit(N)).alias("reduce_id")).agg(F.count(F.lit(1)).alias("length"))
+
+
+def map_status(spark, d):
+    return _map_lengths(spark, d)
+
+
+def lengths_to_offsets(spark, d):
+    return manifest.lengths_to_offsets(_map_lengths(spark, d), ["map_id"], "reduce_id").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
+def _offsets(spark, d):
+    placed = lengths_to_offsets(spark, d)
+    return placed.select("map_id", F.col("reduce_id").alias("i"), F.col("start").alias("offset")).unionByName(placed.groupBy("map_id").agg((F.max("reduce_id") + 1).alias("i"), F.max("end").alias("offset")))
+
+
+def offsets_to_lengths(spark, d):
+    return manifest.offsets_to_lengths(_offsets(spark, d), ["map_id"], "i").select("map_id", F.col("i").alias("reduce_id"), "length")
+
+
+def manifest_validate(spark, d):
+    """Every second map's data file is a row short."""
+    sizes = _items(spark, d, "l_linenumber").groupBy(F.col("l_linenumber").cast("long").alias("map_id")).agg((F.count(F.lit(1)) - F.pmod(F.first("l_linenumber"), F.lit(2))).alias("data_size"))
+    return manifest.validate(_offsets(spark, d), sizes, ["map_id"], "i")
+
+
+def index_file_roundtrip(spark, d):
+    """Offsets as big-endian index bytes and back, in columns."""
+    hexed = manifest.lengths_to_offsets(_map_lengths(spark, d), ["map_id"], "reduce_id").withColumn("word", F.lpad(F.hex(F.col("end").cast("long")), 16, "0"))
+    return hexed.select("map_id", "reduce_id", F.lower("word").alias("word"), F.conv("word", 16, 10).cast("long").alias("end"))
+
+
+def partition_checksum(spark, d):
+    """Sum and exclusive or of a hash of each partition's rows: combined on the map side, whatever the order."""
+    dealt = partition.exchange(_items(spark, d, "l_orderkey", "l_partkey"), ExchangeSpec(("l_orderkey",), N))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return dealt.groupBy(F.spark_partition_id().cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(key).alias("hash_sum"), F.bit_xor(key).alias("hash_xor"))
+
+
+def store_roundtrip(spark, d):
+    store = _store(spark)
+    store.put(_items(spark, d, "l_orderkey", "l_quantity"), 1, ExchangeSpec(("l_orderkey",), N))
+    return store.read(1).groupBy(F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty"))
+
+
+def store_range_read(spark, d):
+    store = _store(spark)
+    store.put(_items(spark, d, "l_orderkey", "l_partkey"), 1, ExchangeSpec(("l_orderkey",), N))
+    return _long(store.read(1, 2, 5).select("reduce_id", "l_orderkey", "l_partkey"), "reduce_id")
+
+
+def store_lengths(spark, d):
+    store = _store(spark)
+    store.put(_items(spark, d, "l_linenumber"), 1, ExchangeSpec(("l_linenumber",), 11))
+    return _long(store.validate(1), "reduce_id")
+
+
+def store_recommit(spark, d):
+    """Of two commits the later valid one counts."""
+    store = _store(spark)
+    items = _items(spark, d, "l_orderkey", "l_quantity")
+    store.put(items.where("l_quantity <= 10"), 1, ExchangeSpec(("l_orderkey",), N))
+    store.put(items.where("l_quantity > 10"), 1, ExchangeSpec(("l_orderkey",), N))
+    return store.read(1).groupBy(F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("l_quantity").alias("min_qty"))
+
+
+def store_drop_map(spark, d):
+    store = _store(spark)
+    store.put(_items(spark, d, "l_orderkey", "l_linenumber"), 1, ExchangeSpec(("l_orderkey",), N), map_id=F.col("l_linenumber"))
+    store.drop_map(1, 3)
+    return store.read(1).groupBy(F.col("map_id").cast("long").alias("map_id"), F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def store_dump_partition(spark, d):
+    store = _store(spark)
+    store.put(_items(spark, d, "l_orderkey", "l_partkey", "l_quantity"), 1, ExchangeSpec(("l_orderkey",), N))
+    return spark.read.parquet(store.dump(1, 3)).select("l_orderkey", "l_partkey", "l_quantity")
+
+
+def batch_limit_read(spark, d):
+    batched = runs.with_batches(_orders(spark, d, "o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], BATCH)
+    return runs.limit_batches(batched, 1, 3)
+
+
+def spill_batch_offsets(spark, d):
+    batched = runs.with_batches(_orders(spark, d, "o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], BATCH)
+    lengths = batched.groupBy("batch").agg(F.count(F.lit(1)).alias("length")).withColumn("run", F.floor(F.col("batch") / 1024))
+    # offsets within runs of 1024 batches
+    return manifest.lengths_to_offsets(lengths, ["run"], "batch").select("run", "batch", "length", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def skew_report(spark, d):
+    sizes = partition.partition_sizes(partition.exchange(_items(spark, d, "l_suppkey"), ExchangeSpec(("l_suppkey",), N)), N)
+    return partition.skew_report(sizes).select("partitions", "total_rows", "largest", F.round("mean", 6).alias("mean"), F.round("skew", 6).alias("skew"))
+
+
+def strategy_choice(spark, d):
+    """Which writer an exchange of as many partitions as each nation's key, times 100, would take, with and without map-side combine."""
+    choose = F.lit(None).cast("string")
+    limit = 200
+    bypass, serialized, base = (explain_strategy(n, c) for n, c in ((limit, False), (limit + 1, False), (limit, True)))
+    nations = _read(spark, d, "nation").select((F.col("n_nationkey") * 100).cast("long").alias("num_partitions")).withColumn("combine", F.explode(F.array(F.lit(False), F.lit(True))))
+    choose = F.when(F.col("combine"), F.lit(base)).when(F.col("num_partitions") <= limit, F.lit(bypass)).otherwise(F.lit(serialized))
+    return nations.withColumn("strategy", choose)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        hash_partition_sizes, partition_sizes_with_empties, skip_empty_partitions, round_robin_balance, partition_range_read,
+        reduce_by_key_sum, reduce_by_key_max, reduce_by_key_count, ordered_aggregate, two_phase_aggregate, combine_by_key_avg,
+        group_by_key_list, cogroup_orders_lineitem, hash_collision_group, null_key_group, struct_field_sum,
+        sort_within_partition, range_partition_sort, descending_sort, range_partition_disjoint, kway_merge,
+        map_status, lengths_to_offsets, offsets_to_lengths, manifest_validate, index_file_roundtrip, partition_checksum,
+        store_roundtrip, store_range_read, store_lengths, store_recommit, store_drop_map, store_dump_partition,
+        batch_limit_read, spill_batch_offsets, skew_report, strategy_choice,
+    )
+}
+
+_LENGTHS = "select cast(l_linenumber as bigint) map_id, l_orderkey % 7 reduce_id, count(*) length from lineitem group by 1, 2"
+_ENDS = f"select map_id, reduce_id, length, cast(sum(length) over (partition by map_id order by reduce_id) as bigint) as \"end\" from ({_LENGTHS})"
+_BATCHED = "select o_orderkey, o_custkey, cast((row_number() over (order by o_custkey, o_orderkey) - 1) // 1000 as bigint) batch from orders"
+_HASH = "cast('0x' || substr(md5(l_orderkey::varchar || ':' || l_partkey::varchar), 1, 8) as bigint)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "hash_partition_sizes": "select l_orderkey % 7 reduce_id, count(*) n_rows from lineitem group by 1",
+    "partition_sizes_with_empties": "select i reduce_id, count(l_linenumber) n_rows from range(11) t(i) left join lineitem on l_linenumber % 11 = i group by 1",
+    "skip_empty_partitions": "select cast(l_linenumber % 11 as bigint) reduce_id, count(*) n_rows from lineitem group by 1",
+    "round_robin_balance": "select cast(8 as bigint) partitions, count(*) total_rows, true balanced from lineitem",
+    "partition_range_read": "select l_orderkey, l_partkey, l_quantity from lineitem where l_orderkey % 7 between 2 and 4",
+    "reduce_by_key_sum": "select l_orderkey, sum(l_quantity) sum_qty from lineitem group by 1",
+    "reduce_by_key_max": "select l_orderkey, max(l_extendedprice) max_price from lineitem group by 1",
+    "reduce_by_key_count": "select l_suppkey, count(*) n from lineitem group by 1",
+    "ordered_aggregate": "select l_partkey, sum(l_quantity) sum_qty, l_partkey % 7 as \"partition\", row_number() over (partition by l_partkey % 7 order by l_partkey) - 1 as \"position\" from lineitem group by l_partkey",
+    "two_phase_aggregate": "select l_orderkey, sum(l_quantity) sum_qty, count(*) n from lineitem group by 1",
+    "combine_by_key_avg": "select l_partkey, round(avg(l_quantity), 6) avg_qty from lineitem group by 1",
+    "group_by_key_list": "select l_orderkey, string_agg(l_partkey::varchar, ',' order by l_partkey) parts from lineitem group by 1",
+    "cogroup_orders_lineitem": "select coalesce(a.k, b.k) k, coalesce(left_values, '') left_values, coalesce(right_values, '') right_values from (select o_orderkey k, string_agg(o_custkey::varchar, ',' order by o_custkey) left_values from orders group by 1) a full join (select l_orderkey k, string_agg(l_partkey::varchar, ',' order by l_partkey) right_values from lineitem group by 1) b on a.k = b.k",
+    "hash_collision_group": "select l_partkey % 2 h, l_partkey v, count(*) n from lineitem group by 1, 2",
+    "null_key_group": "select nullif(l_orderkey % 5, 0) k, count(*) n, sum(l_quantity) sum_qty from lineitem group by 1",
+    "struct_field_sum": "select l_suppkey, cast(sum(l_linenumber) as bigint) sum_v, cast(sum(10) as bigint) sum_h from lineitem group by 1",
+    "sort_within_partition": "select o_orderkey, o_orderkey % 7 as \"partition\", row_number() over (partition by o_orderkey % 7 order by o_totalprice desc, o_orderkey) - 1 as \"position\" from orders",
+    "range_partition_sort": "select o_orderkey, o_custkey, row_number() over (order by o_custkey, o_orderkey) - 1 row_index from orders",
+    "descending_sort": "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) - 1 row_index from orders",
+    "range_partition_disjoint": "select count(*) total_rows, true in_order, cast(0 as bigint) n_overlaps from orders",
+    "kway_merge": "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) - 1 row_index from orders",
+    "map_status": _LENGTHS,
+    "lengths_to_offsets": f"select map_id, reduce_id, length, \"end\" - length as \"start\", \"end\" from ({_ENDS})",
+    "offsets_to_lengths": _LENGTHS,
+    "manifest_validate": f"select map_id, count(*) n_partitions, cast(sum(length) as bigint) total, cast(sum(length) - map_id % 2 as bigint) data_size, map_id % 2 = 0 valid from ({_LENGTHS}) group by map_id",
+    "index_file_roundtrip": f"select map_id, reduce_id, lower(lpad(to_hex(\"end\"), 16, '0')) word, \"end\" from ({_ENDS})",
+    "partition_checksum": f"select l_orderkey % 7 reduce_id, count(*) n_rows, cast(sum({_HASH}) as bigint) hash_sum, bit_xor({_HASH}) hash_xor from lineitem group by 1",
+    "store_roundtrip": "select l_orderkey % 7 reduce_id, count(*) n_rows, sum(l_quantity) sum_qty from lineitem group by 1",
+    "store_range_read": "select l_orderkey % 7 reduce_id, l_orderkey, l_partkey from lineitem where l_orderkey % 7 between 2 and 4",
+    "store_lengths": "select i reduce_id, count(l_linenumber) n_rows from range(11) t(i) left join lineitem on l_linenumber % 11 = i group by 1",
+    "store_recommit": "select l_orderkey % 7 reduce_id, count(*) n_rows, min(l_quantity) min_qty from lineitem where l_quantity > 10 group by 1",
+    "store_drop_map": "select cast(l_linenumber as bigint) map_id, l_orderkey % 7 reduce_id, count(*) n_rows from lineitem where l_linenumber <> 3 group by 1, 2",
+    "store_dump_partition": "select l_orderkey, l_partkey, l_quantity from lineitem where l_orderkey % 7 = 3",
+    "batch_limit_read": f"select o_orderkey, o_custkey, batch from ({_BATCHED}) where batch >= 1 and batch < 3",
+    "spill_batch_offsets": f"select batch // 1024 run, batch, length, cast(sum(length) over (partition by batch // 1024 order by batch) - length as bigint) as \"start\", cast(sum(length) over (partition by batch // 1024 order by batch) as bigint) as \"end\" from (select batch, count(*) length from ({_BATCHED}) group by batch)",
+    "skew_report": "select count(*) partitions, cast(sum(n) as bigint) total_rows, max(n) largest, round(avg(n), 6) mean, round(max(n) / avg(n), 6) skew from (select l_suppkey % 7, count(*) n from lineitem group by 1)",
+    "strategy_choice": "select cast(n_nationkey * 100 as bigint) num_partitions, c combine, case when c then 'base' when n_nationkey * 100 <= 200 then 'bypass' else 'serialized' end strategy from nation cross join (values (false), (true)) t(c)",
+}
