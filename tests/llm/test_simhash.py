@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,10 +78,33 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
 
 def test_linked_finds_all_pairs_in_chunks(spark):
     rng = random.Random(9)
-    fps = {rng.getrandbits(12) | (rng.getrandbits(3) << 60) for _ in range(200)}
+    fps = {rng.getrandbits(12) | (rng.getrandbits(4) << 60) for _ in range(200)} | {2**64 - 1, 0, 2**63, 2**63 - 1}
     nodes = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(sorted(fps))]
     frame = spark.createDataFrame(nodes, "fp long, node long")
     got = connected_components(H.links(frame, chunk=8))
     want = components([n for _, n in nodes], [(a, b) for f, a in nodes for g, b in nodes if a < b and ((f ^ g) % 2**64).bit_count() <= 4])
     low = {r.node: r.component for r in got.collect()}
     assert {n: low.get(n, n) for _, n in nodes} == want
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randrange(2, 7)))
+    base = [[word() for _ in range(rng.randrange(120, 400))] for _ in range(40)]
+    rows = []
+    for words in base:
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(words)
+            for _ in range(rng.randrange(0, max(2, len(copy) // 60))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, ""), (None, rows[0][1])]
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows if i is not None and t}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    got = {r.id: r.component for r in H.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [(a, b) for a in shingles for b in shingles if a < b and alike(a, b) >= 0.8]
+    assert sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near) > 20
+    assert not [(a, b) for a in shingles for b in shingles if got[a] == got[b] and alike(a, b) < 0.3]
+    assert got[900] == got[901] == 900 and got[None] is None
+    keys = H.order_keys(np.array([[1, 2, 3, 4], [1, 2, 3, 4 + 2**40]], np.uint64))
+    assert keys.shape == (2, 72) and (keys[0] != keys[1]).sum() == 6
