@@ -38,7 +38,16 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
+#: Bytes of a batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, as rows may be long texts; a smaller bound of the session's stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(re.sub(r"[^-\d]", "", conf.get(_BATCH_CONF))) <= BATCH_BYTES:
+        conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
     return df.mapInArrow(f, schema)
 
 

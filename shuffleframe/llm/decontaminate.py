@@ -31,7 +31,7 @@ WINDOW, SHARE = 8, 0.5
 #: Bits of the bitmap of benchmark windows (2 MB).
 BITMAP = 1 << 24
 #: Words that a worker remembers; this bounds memory and changes no result. Characters of a text that are looked at a time.
-REMEMBERED, PIECE = 500_000, 400_000
+REMEMBERED, PIECE = 200_000, 400_000
 #: Template words in windows of one diagonal that make a hit whatever the length of the item.
 ENOUGH = 13
 
