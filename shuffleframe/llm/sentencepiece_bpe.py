@@ -8,7 +8,8 @@ again, remembered by pair), tries shorter matches else, and goes back where none
 that it went back from can't end a piece of the result, which a bitfield remembers.
 
 Pieces never hold white space after another character, so a text falls into units (a run of spaces
-and the word after it) that are encoded by themselves; characters without a piece become bytes.
+and the word after it) that are encoded by themselves, and a unit into parts between characters that are
+neighbours in no piece; characters without a piece become bytes.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .common import arrow_map
 
 SPACE = "▁"
 #: Units and pairs that a worker remembers, by number and by length; this bounds memory and changes no result.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_LENGTH = 150_000, 200_000, 64
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_NEVER = float("-inf")
 #: Positions whose matches are found at a time.
 _WINDOW = 512
 
@@ -106,35 +108,62 @@ class BpeModel:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._traces: dict[int, tuple[bool, list[float], list[str], list[str]]] = {}
         self._units: dict[str, list[int]] = {}
-        letters = "".join(re.escape(p) for p in self.ids if len(p) == 1)
-        self._other = re.compile(f"([^{letters}])")
+        self._older: dict[str, list[int]] = {}
+        self._neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        if any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("only models whose characters are pieces are supported")
         #: Text of each id; None for bytes.
         self.text = [None if k == self.BYTE else " ⁇ " if k == self.UNKNOWN else "" if k == self.CONTROL else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """What the merges make of these symbols: the best-ranked pair first, the leftmost of equals."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                rank = self.rank.get(symbols[i] + symbols[i + 1])
-                if rank is not None and (best is None or rank > best):
-                    best, at = rank, i
-            if best is None:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+    def _trace(self, i: int) -> tuple[bool, list[float], list[str], list[str]]:
+        """How the merges make piece i of its characters: whether they do, the merges' ranks, and the first and the last symbol before, between and after them."""
+        known = self._traces.get(i)
+        if known is None:
+            symbols = list(self.pieces[i])
+            ranks, firsts, lasts = [], [symbols[0]], [symbols[-1]]
+            while len(symbols) > 1:
+                best, at = _NEVER, -1
+                for k in range(len(symbols) - 1):
+                    rank = self.rank.get(symbols[k] + symbols[k + 1], _NEVER)
+                    if rank > best:  # the best-ranked pair first, the leftmost of equals
+                        best, at = rank, k
+                if at < 0:
+                    break
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                ranks.append(best)
+                firsts.append(symbols[0])
+                lasts.append(symbols[-1])
+            known = self._traces[i] = (len(symbols) == 1, [*ranks, _NEVER], firsts, lasts)
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the merges leave a and then b as they are; a < 0: b by itself."""
+        """Whether the merges leave a and then b as they are; a < 0: b by itself.
+
+        Merges both pieces again, side by side, the better-ranked step first (of equals the left one), and looks whether a merge across the border is ever the next.
+        """
         key = (a, b)
         known = self._pairs.get(key)
         if known is None:
-            pair = [self.pieces[b]] if a < 0 else [self.pieces[a], self.pieces[b]]
-            known = self.merged(list("".join(pair))) == pair
-            if len(self._pairs) >= REMEMBERED:
+            whole, right_ranks, firsts, _ = self._trace(b)
+            known = whole
+            if whole and a >= 0:
+                known, left_ranks, _, lasts = self._trace(a)
+                i = j = 0
+                while known:
+                    left, right = left_ranks[i], right_ranks[j]
+                    across = self.rank.get(lasts[i] + firsts[j])
+                    if across is not None and across > left and across >= right:
+                        known = False
+                    elif left == right == _NEVER:
+                        break
+                    elif left >= right:
+                        i += 1
+                    else:
+                        j += 1
+            if len(self._pairs) >= REMEMBERED_PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
@@ -152,6 +181,42 @@ class BpeModel:
     def _walk(self, unit: str) -> list[int]:
         """Encodes text all of whose characters have pieces."""
         n = len(unit)
+        if n > _WINDOW:
+            return self._walk_far(unit)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for last, match in self.automaton.iter(unit):
+            found[last + 1 - match[0]].append(match)
+        # a text has one encoding, so a position is come to with one piece before it only, and its matches are used up
+        failed, at, last = 0, 0, -1
+        ids: list[int] = []
+        begins: list[int] = []
+        known = self._pairs.get
+        while True:
+            left = found[at]
+            while left:
+                length, i = left.pop()
+                to = at + length
+                if not failed >> to & 1:
+                    fits = known((last, i))
+                    if fits is None:
+                        fits = self.compatible(last, i)
+                    if fits:
+                        break
+            else:  # none fits: no piece of the result ends here
+                failed |= 1 << at
+                ids.pop()
+                at = begins.pop()
+                last = ids[-1] if ids else -1
+                continue
+            ids.append(i)
+            begins.append(at)
+            if to == n:
+                return ids
+            at, last = to, i
+
+    def _walk_far(self, unit: str) -> list[int]:
+        """As _walk, with the matches of a few windows at a time."""
+        n = len(unit)
         windows = {0: self._matches(unit, 0)}
         failed = bytearray(n // 8 + 1)
         ids: list[int] = []
@@ -186,20 +251,40 @@ class BpeModel:
                 windows[k] = self._matches(unit, k * _WINDOW)
             left = list(windows[k][at - k * _WINDOW])
 
-    def encode_unit(self, unit: str) -> list[int]:
-        known = self._units.get(unit)
-        if known is not None:
-            return known
-        ids: list[int] = []
-        for k, part in enumerate(self._other.split(unit)):
-            if k % 2:
-                ids += [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
-            elif part:
-                ids += self._walk(part)
-        if len(unit) <= REMEMBERED_LENGTH:
+    def _remembered(self, text: str) -> list[int] | None:
+        ids = self._units.get(text)
+        return self._older.get(text) if ids is None else ids
+
+    def _remember(self, text: str, ids: list[int]) -> None:
+        if len(text) <= REMEMBERED_LENGTH:
             if len(self._units) >= REMEMBERED:
-                self._units.clear()
-            self._units[unit] = ids
+                self._older, self._units = self._units, {}
+            self._units[text] = ids
+
+    def _part(self, part: str) -> list[int]:
+        """Encodes characters each two of which are neighbours in some piece, or one character."""
+        ids = self._remembered(part)
+        if ids is None:
+            if part in self.ids and len(part) == 1:
+                ids = [self.ids[part]]
+            elif len(part) == 1:
+                ids = [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
+            else:
+                ids = self._walk(part)
+            self._remember(part, ids)
+        return ids
+
+    def encode_unit(self, unit: str) -> list[int]:
+        ids = self._remembered(unit)
+        if ids is None:
+            neighbours = self._neighbours
+            cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in neighbours]
+            if cuts:
+                ids = [x for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True) for x in self._part(unit[a:b])]
+                self._remember(unit, ids)
+                return ids
+            return self._part(unit)
+        self._remember(unit, ids)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
