@@ -103,4 +103,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_hmm_scores": op10_hmm_scores,
 }
-ORACLES: dict[str, str] = {}
+#: SQL for the queries that it can express; the others are tested against brute force, round trips and held-out rows.
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": """
+with recursive usable as (
+    select vec_id, label, embedding::double[] as e from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), linked as (
+    select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.98
+), reached(a, b) as (
+    select vec_id, vec_id from embeddings union select r.a, l.b from reached r join linked l on r.b = l.a
+), lowest as (select a, min(b) as component_id from reached group by a)
+select e.vec_id, (select count(*) from linked where linked.a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join lowest on lowest.a = e.vec_id""",
+    "op4_warc": """
+with hashed as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h,
+        max(page_id) over (partition by coalesce(html, '')) as largest
+    from pages
+), words as (
+    select *, list_transform(range(8), lambda g: ('0x' || substr(h, cast(g as int) * 5 + 1, 5))::int) as w from hashed
+)
+select page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((w[cast(i // 4 as int) + 1] >> (15 - 5 * cast(i % 4 as int))) & 31) + 1, 1)), '') as payload_digest,
+    case when page_id = largest then 'response' else 'revisit' end as record_type,
+    case when page_id = largest then null else largest end as refers_to
+from words""",
+}
