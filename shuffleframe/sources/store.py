@@ -131,6 +131,7 @@ class ExchangeStore:
             dealt.write.partitionBy("reduce_id").parquet(f"{attempt.path}/data")
             self._lengths(self._data(attempt.path, dealt.schema)).coalesce(1).write.parquet(f"{attempt.path}/manifest")
             self._files.replace(f"{attempt.path}/SCHEMA", dealt.schema.json())
+            self._files.replace(f"{attempt.path}/FILES", json.dumps(self._files.sizes(f"{attempt.path}/data", ".parquet")))
         except BaseException:
             self.recall(attempt)
             raise
@@ -146,7 +147,16 @@ class ExchangeStore:
         check = row_checksum(columns) if columns else F.lit(0).cast("long")
         return data.groupBy("map_id", "reduce_id").agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(check).alias("checksum"))
 
+    def _complete(self, path: str, start: int = 0, end: int = 1 << 31) -> bool:
+        """Whether the files of the partitions start to end - 1 are there as they were written; looks at names and sizes only."""
+        told = self._files.read(f"{path}/FILES")
+        if told is None:
+            return False
+        of = lambda files: {k: n for k, n in files.items() if start <= int(k.partition("/")[0].rpartition("=")[2]) < end}
+        return of(json.loads(told)) == of(self._files.sizes(f"{path}/data", ".parquet"))
+
     def _agrees(self, path: str) -> bool:
+        """Whether all rows are those that the manifest tells of; reads them."""
         if self._files.read(f"{path}/SCHEMA") is None or not self._files.exists(f"{path}/manifest"):
             return False
         told = self.spark.read.parquet(f"{path}/manifest")
@@ -158,11 +168,11 @@ class ExchangeStore:
         old = self._pointer(attempt.shuffle_id)
         if old and old["attempt"] == attempt.uuid:
             return True
-        if not self._agrees(attempt.path):
+        if not self._complete(attempt.path):
             self.recall(attempt)
             if old:
                 return False
-            raise CorruptExchange(f"attempt {attempt.uuid} of exchange {attempt.shuffle_id} doesn't agree with its manifest")
+            raise CorruptExchange(f"attempt {attempt.uuid} of exchange {attempt.shuffle_id} lacks files")
         pointer = {"attempt": attempt.uuid, "num_partitions": attempt.num_partitions, "dropped_maps": []}
         self._files.replace(f"{self._shuffle(attempt.shuffle_id)}/CURRENT", json.dumps(pointer))
         self.invalidate(attempt.shuffle_id)
@@ -193,12 +203,12 @@ class ExchangeStore:
     def read(self, shuffle_id: int, start: int = 0, end: int | None = None, map_ids: list[int] | None = None, strict: bool = True) -> DataFrame:
         """Rows of the partitions start to end - 1, with map_id and reduce_id; only these partitions' folders are read.
 
-        strict: data that don't agree with the manifest raise CorruptExchange; else partitions that don't agree are left out (see skipped).
+        strict: files that are missing or have another size raise CorruptExchange (validate() reads the rows too); else partitions that don't agree with the manifest are left out (see skipped).
         """
         path, pointer = self._current(shuffle_id)
         end = pointer["num_partitions"] if end is None else end
-        if strict and not self._agrees(path):
-            raise CorruptExchange(f"exchange {shuffle_id} doesn't agree with its manifest")
+        if strict and not self._complete(path, start, end):
+            raise CorruptExchange(f"exchange {shuffle_id} lacks files, or has others than were written")
         data = self._data(path).where((F.col("reduce_id") >= start) & (F.col("reduce_id") < end))
         if pointer["dropped_maps"]:
             data = data.where(~F.col("map_id").isin(pointer["dropped_maps"]))
@@ -230,7 +240,7 @@ class ExchangeStore:
         return every.join(sums, "reduce_id", "left").select("reduce_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
     def validate(self, shuffle_id: int) -> DataFrame | None:
-        """lengths(); None if nothing is committed or there are no rows; CorruptExchange if the data disagree."""
+        """lengths(); None if nothing is committed or there are no rows; CorruptExchange if the rows aren't those of the manifest. Reads all rows once."""
         if self._pointer(shuffle_id) is None:
             return None
         path, _ = self._current(shuffle_id)

@@ -49,6 +49,19 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
 
+    def sizes(self, path: str, suffix: str = "") -> dict[str, int]:
+        """Bytes of the files below a folder by their path in it; none if it is missing."""
+        out: dict[str, int] = {}
+        if self.exists(path):
+            base = self._fs.makeQualified(self._path(path)).toUri().getPath().rstrip("/") + "/"
+            found = self._fs.listFiles(self._path(path), True)
+            while found.hasNext():
+                status = found.next()
+                name = status.getPath().toUri().getPath().removeprefix(base)
+                if name.endswith(suffix):
+                    out[name] = status.getLen()
+        return out
+
     def read(self, path: str) -> str | None:
         if not self.exists(path):
             return None

@@ -67,6 +67,7 @@ def test_nothing_counts_before_the_commit(spark, store):
 def spoil(attempt):
     path = glob.glob(f"{attempt.path.removeprefix('file://')}/data/reduce_id=*/*.parquet")[0]
     os.remove(path)
+    return path
 
 
 def test_commit_again(spark, store):
@@ -87,11 +88,13 @@ def test_commit_again(spark, store):
 
 def test_corrupt_data(spark, store):
     attempt = store.put(rows(spark, [5, 5, 5]), 1, SPEC)
-    spoil(attempt)
+    spoilt = spoil(attempt)
     with pytest.raises(CorruptExchange):
         store.read(1)
     with pytest.raises(CorruptExchange):
         store.validate(1)
+    gone = int(spoilt.partition("reduce_id=")[2].partition("/")[0])
+    assert store.read(1, gone + 1).count() == 5 * (2 - gone)  # other partitions can be read
     assert store.skipped(1).select("reduce_id").distinct().count() == 1
     assert store.read(1, strict=False).count() == 10
 
