@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows that repeat its id go."""
-    found = materialise(simhash.near_duplicates(docs, width=5, distance=6, blocks=9).where("id is not null"))
+    """Of each group of near copies (shingles of five words, similar by about 0.8 or more) the document with the smallest id stays; rows that repeat its id go."""
+    found = materialise(simhash.near_copies(docs).where("id is not null"))
     copies = found.where("id != component").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("id").count().where("count > 1").isEmpty():

@@ -142,14 +142,14 @@ def same_group_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def in_chunks(keyed: DataFrame, keys: list[str], chunk: int, spread: str) -> DataFrame:
-    """Rows whose keys occur more than once, dealt so that no group exceeds 2 * chunk rows and any two rows with equal keys meet in just one group.
+    """The rows of keyed, dealt so that no group exceeds 2 * chunk rows and any two rows with equal keys meet in just one group.
 
-    Adds the columns own, low and high: a group of n rows falls into ceil(n / chunk) chunks by a hash of the column spread, own; a row goes to the groups (keys, low, high) of its chunk with each chunk. Rows of different chunks are to be compared where low < high, those of one chunk where low = high.
-    keyed must be cheap to compute twice or materialised. A group of more than chunk rows is never together in a task.
+    Adds the columns own, low and high: a key of n > chunk rows falls into ceil(n / chunk) chunks by a hash of the column spread, own; a row goes to the groups (keys, low, high) of its chunk with each chunk. Rows of different chunks are to be compared where low < high, those of one chunk where low = high. Rows of other keys stay as they are, in a group of their key.
+    keyed must be cheap to compute twice or materialised. Only the frequent keys are joined back, and no key is gathered in one task.
     """
-    counted = materialise(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__chunks", F.ceil(F.col("__n") / chunk).cast("int")).drop("__n"))
-    joined = keyed.join(counted, keys)
-    many = F.col("__chunks") > 1
+    frequent = materialise(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > chunk).withColumn("__chunks", F.ceil(F.col("__n") / chunk).cast("int")).drop("__n"))
+    joined = keyed.join(frequent, keys, "left")
+    many = F.col("__chunks").isNotNull()
     own = F.when(many, F.pmod(F.xxhash64(F.lit("chunk"), F.col(spread)), F.col("__chunks").cast("long")).cast("int")).otherwise(F.lit(0))
     others = F.when(many, F.sequence(F.lit(0), F.col("__chunks") - 1)).otherwise(F.array(F.lit(0)))
     return joined.withColumn("own", own).withColumn("__other", F.explode(others)).withColumn("low", F.least("own", "__other")).withColumn("high", F.greatest("own", "__other")).drop("__other", "__chunks")
