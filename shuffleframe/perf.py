@@ -72,8 +72,8 @@ def write_phase(spark: SparkSession, store: ExchangeStore, o: PerfOptions) -> fl
     if store._pointer(o.shuffle_id) and not o.overwrite:
         raise FileExistsError(f"exchange {o.shuffle_id} is there; overwrite it with -o")
     began = time.perf_counter()
-    made = spark.range(0, o.mappers, 1, min(o.mappers, o.tasks)).mapInArrow(_rows(o), "mapper int, r int, data binary")
-    store.put(made, o.shuffle_id, ExchangeSpec(("r",), o.reducers), map_id=F.col("mapper"))
+    made = spark.range(0, o.mappers, 1, o.mappers).mapInArrow(_rows(o), "mapper int, r int, data binary")
+    store.put(made, o.shuffle_id, ExchangeSpec(("r",), o.reducers), map_id=F.col("mapper"), layout="map")
     return time.perf_counter() - began
 
 

@@ -4,6 +4,9 @@ Layout, in any file system that Spark writes to:
     root/app_id/exchange/shuffle_id=S/attempt=UUID/data/reduce_id=R/*.parquet
     root/app_id/exchange/shuffle_id=S/attempt=UUID/manifest/*.parquet
     root/app_id/exchange/shuffle_id=S/CURRENT
+That is the layout "reduce": rows are exchanged first, so a partition is one folder. The layout "map" writes without an
+exchange: each task's rows go to one file, sorted by reduce_id, and a range read skips row groups and pages by their
+smallest and largest reduce_id.
 Data come first, then the manifest (rows and a checksum of each map and reduce partition), and last the
 pointer CURRENT, a small file that names the attempt that counts: it is the only commit point. Readers go by
 the pointer, so an attempt that failed is never seen.
@@ -26,6 +29,10 @@ from ..plans.spec import ExchangeSpec
 from ..storage import Files, shared_root
 
 
+#: Bytes of a row group in the layout map: what a range read can skip.
+ROW_GROUP = 16 << 20
+
+
 class CorruptExchange(RuntimeError):
     """Data that don't agree with their manifest."""
 
@@ -114,8 +121,10 @@ class ExchangeStore:
 
     # writing
 
-    def write(self, df: DataFrame, shuffle_id: int, spec: ExchangeSpec, map_id: Column | None = None) -> Attempt:
-        """Writes an attempt, which counts only once it is committed. map_id names the map output that a row comes from (default: the partition of df that it lies in). An error leaves no attempt behind."""
+    def write(self, df: DataFrame, shuffle_id: int, spec: ExchangeSpec, map_id: Column | None = None, layout: str = "reduce") -> Attempt:
+        """Writes an attempt, which counts only once it is committed. layout: reduce or map (see above; map is for the modes mod and murmur3). map_id names the map output that a row comes from (default: the partition of df that it lies in). An error leaves no attempt behind."""
+        if layout not in ("reduce", "map") or layout == "map" and spec.mode not in ("mod", "murmur3"):
+            raise ValueError("layout is reduce, or map for an exchange by mod or murmur3")
         attempt = Attempt(shuffle_id, uuid.uuid4().hex, "", spec.num_partitions)
         attempt = Attempt(shuffle_id, attempt.uuid, f"{self._shuffle(shuffle_id)}/attempt={attempt.uuid}", spec.num_partitions)
         marked = df.withColumn("map_id", (F.spark_partition_id() if map_id is None else map_id).cast("int"))
@@ -125,10 +134,15 @@ class ExchangeStore:
             elif spec.mode == "round_robin":
                 dealt = marked.repartition(spec.num_partitions).withColumn("reduce_id", F.spark_partition_id())
             else:
-                dealt = marked.withColumn("reduce_id", reduce_id(df, spec.keys, spec.num_partitions, spec.mode)).repartitionById(spec.num_partitions, F.col("reduce_id"))
-            if spec.order_by:
+                dealt = marked.withColumn("reduce_id", reduce_id(df, spec.keys, spec.num_partitions, spec.mode))
+                if layout == "reduce":
+                    dealt = dealt.repartitionById(spec.num_partitions, F.col("reduce_id"))
+            if spec.order_by or layout == "map":
                 dealt = dealt.sortWithinPartitions("reduce_id", *spec.order_by)
-            dealt.write.partitionBy("reduce_id").parquet(f"{attempt.path}/data")
+            if layout == "map":
+                dealt.write.option("parquet.block.size", ROW_GROUP).parquet(f"{attempt.path}/data")
+            else:
+                dealt.write.partitionBy("reduce_id").parquet(f"{attempt.path}/data")
             self._lengths(self._data(attempt.path, dealt.schema)).coalesce(1).write.parquet(f"{attempt.path}/manifest")
             self._files.replace(f"{attempt.path}/SCHEMA", dealt.schema.json())
             self._files.replace(f"{attempt.path}/FILES", json.dumps(self._files.sizes(f"{attempt.path}/data", ".parquet")))
@@ -152,7 +166,7 @@ class ExchangeStore:
         told = self._files.read(f"{path}/FILES")
         if told is None:
             return False
-        of = lambda files: {k: n for k, n in files.items() if start <= int(k.partition("/")[0].rpartition("=")[2]) < end}
+        of = lambda files: {k: n for k, n in files.items() if "/" not in k or start <= int(k.partition("/")[0].rpartition("=")[2]) < end}
         return of(json.loads(told)) == of(self._files.sizes(f"{path}/data", ".parquet"))
 
     def _agrees(self, path: str) -> bool:
@@ -187,8 +201,8 @@ class ExchangeStore:
             raise ValueError("the attempt is committed; drop the exchange instead")
         self._files.delete(attempt.path)
 
-    def put(self, df: DataFrame, shuffle_id: int, spec: ExchangeSpec, map_id: Column | None = None) -> Attempt:
-        attempt = self.write(df, shuffle_id, spec, map_id)
+    def put(self, df: DataFrame, shuffle_id: int, spec: ExchangeSpec, map_id: Column | None = None, layout: str = "reduce") -> Attempt:
+        attempt = self.write(df, shuffle_id, spec, map_id, layout)
         self.commit(attempt)
         return attempt
 

@@ -114,6 +114,23 @@ def test_checksum_dump_and_drops(spark, store):
     assert store.counts() == {"committed": 1, "temporary": 0}
 
 
+def test_map_layout(spark, store):
+    df = rows(spark, [110, 230, 17]).repartition(4)
+    attempt = store.put(df, 1, SPEC, layout="map")
+    store.put(df, 2, SPEC)
+    assert lengths(store) == [110, 230, 17] and store.read(1, 1, 3).count() == 247
+    assert sorted(map(tuple, store.checksum(1).collect())) == sorted(map(tuple, store.checksum(2).collect()))
+    plan = store.read(1, 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(reduce_id), GreaterThanOrEqual(reduce_id,1)" in plan
+    written = store.write(df, 3, SPEC, layout="map")
+    assert store.commit(written)
+    os.remove(glob.glob(f"{attempt.path.removeprefix('file://')}/data/*.parquet")[0])
+    with pytest.raises(CorruptExchange):
+        store.read(1, 0, 1)
+    with pytest.raises(ValueError):
+        store.write(df, 4, ExchangeSpec(("k",), 3, "range"), layout="map")
+
+
 def test_failing_input_leaves_nothing(spark, store):
     bad = spark.range(1200).selectExpr("cast(id as int) k", "if(id = 1199, raise_error('broken row'), id) v")
     with pytest.raises(Exception, match="broken row"):
