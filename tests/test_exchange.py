@@ -1,7 +1,7 @@
 """Partitioning, aggregation, sorting: small cases with known results."""
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -141,6 +141,7 @@ def test_lengths_and_offsets(spark):
     assert {r.map_id: r.valid for r in manifest.validate(offsets, sizes, ["map_id"], "i").collect()} == {0: True, 1: False, 2: False, 3: True, 9: False}
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 1 << 40), max_size=20))
 def test_index_codec(lengths):
     data = manifest.encode_index(lengths)
