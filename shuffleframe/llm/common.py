@@ -23,7 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='shuffleframe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _made.append(path := f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return path
+
+
+#: Folders that this process has named in the shared folder.
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the folders that operators have written below spark.checkpoint.dir, once their results are no longer needed; returns how many there were."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialise(df: DataFrame) -> DataFrame:
