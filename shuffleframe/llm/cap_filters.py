@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, same_group_pairs, spanning_forest
 from .components import connected_components
@@ -101,9 +102,11 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def with_filters(vectors: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """(row, id, label, dim, v, filters): v holds doubles of length one; rows that link with nothing have no filters."""
+    """(row, id, label, dim, v, filters): v holds the components, as floats if they are floats, else as doubles of a vector of length one; rows that link with nothing have no filters."""
     frame = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").alias("v"))
 
+    short = components_type(vectors, vector) == "<f4"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Codes] = {}
         row = TaskContext.get().partitionId() << 33
@@ -128,7 +131,7 @@ def with_filters(vectors: DataFrame, id_col: str, vector: str, label: str) -> Da
                         pa.array(np.arange(row, row + n)),
                         *some.columns[:2],
                         pa.array([0 if x is None else len(x) for x in found], pa.int32()),
-                        pa.array([b"" if x is None else x.tobytes() for x in found], pa.binary()),
+                        pa.array([b"" if x is None else some.column(2)[i].values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() if short else x.tobytes() for i, x in enumerate(found)], pa.binary()),
                         pa.array([f.astype(np.int32) for f in filters], pa.list_(pa.int32())),
                     ],
                     names=["row", "id", "label", "dim", "v", "filters"],
@@ -139,7 +142,12 @@ def with_filters(vectors: DataFrame, id_col: str, vector: str, label: str) -> Da
     return arrow_map(frame, run, f"row long, id {kind('id')}, label {kind('label')}, dim int, v binary, filters array<int>")
 
 
-def _verified(threshold: float):
+def components_type(vectors: DataFrame, vector: str) -> str:
+    """How the components are kept: floats as they are, other numbers as doubles."""
+    return "<f4" if vectors.schema[vector].dataType.elementType == FloatType() else "<f8"
+
+
+def _verified(threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in complete_groups(batches, ["key", "low", "high"], 20_000):
             key, low, high, own, row, node, label, dims, filter_ = (rows.column(c).to_numpy() for c in ("key", "low", "high", "own", "row", "id", "label", "dim", "filter"))
@@ -159,7 +167,8 @@ def _verified(threshold: float):
 
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                vectors = np.frombuffer(b"".join(data.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), dim)
+                vectors = np.frombuffer(b"".join(data.take(pa.array(at)).to_pylist()), kind).reshape(len(at), dim).astype(np.float64)
+                vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
                 group = group_numbers(key[at], low[at], high[at], label[at], filter_[at])  # a hash may be that of several keys
                 starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
                 sizes = np.diff(np.append(starts, len(at)))
@@ -224,7 +233,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     dealt = in_chunks(keyed, keys, chunk, "row")
     numbered = dealt.withColumn("key", F.xxhash64(*keys))
     ordered = numbered.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", *keys).select("key", "low", "high", "own", "row", "id", *keys, "v", "filters")
-    found = materialise(arrow_map(ordered, _verified(threshold), "row long, n long, a long, b long"))
+    found = materialise(arrow_map(ordered, _verified(threshold, components_type(vectors, vector)), "row long, n long, a long, b long"))
     counts = found.where("row is not null").groupBy("row").agg(F.sum("n").alias("n_links"))
     components = materialise(connected_components(found.where("a is not null").select("a", "b")))
     named = rows.select("row", "id").join(counts, "row", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

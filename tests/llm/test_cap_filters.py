@@ -65,6 +65,13 @@ def test_against_brute_force(spark, chunk):
     assert C.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_floats(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(16) * 0.05 + (i % 5 == np.arange(16))).astype(np.float32).tolist(), 0) for i in range(60)] + [(100, [1e38] * 16, 0), (101, [1e-40] * 16, 0)]
+    got = sorted((r.id, r.n_links) for r in C.near_duplicates(spark.createDataFrame(rows, "vec_id int, embedding array<float>, label int")).collect())
+    assert got == [(i, n) for (i, _, _), n in zip(rows, plain(rows)[0], strict=True)]
+
+
 def test_recall_on_the_table(spark):
     got = {r.vec_id: r for r in queries.op3_embedding_dedup(spark, "/root/testdata/sf0.1").collect()}
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
