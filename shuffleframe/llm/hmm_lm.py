@@ -38,6 +38,8 @@ SAMPLE, START_ROUNDS, ROUNDS, SEGMENT = 300_000, 25, 3, 512
 SMOOTHING = 500.0
 #: Distinct words that a task counts before it sends them on; cells of a padded block of sequences.
 HELD, CELLS = 300_000, 1_000_000
+#: Bins of word counts for each doubling; words of the bins that fit whole go into the table.
+BINS = 64
 #: Stands for the end; no word holds a blank.
 END = b"\n"
 LN10 = float(np.log(10.0))
@@ -88,7 +90,14 @@ def vocabulary(counts: DataFrame, own: int = OWN, shared: int = SHARED, frequent
     """counts: (word, c), materialised."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     short = counts.where((F.octet_length("word") <= LONGEST) & (F.col("word") != F.lit(END)))
-    top = short.orderBy(F.desc("c"), "word").limit(frequent).collect()
+    # a sorted limit would send so many rows from every task; with the sizes of bins of counts, only the words wanted are sent
+    binned = short.withColumn("bin", F.floor(F.log2("c") * BINS).cast("int"))
+    chosen, least = 0, None
+    for r in sorted(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 64 * BINS rows at most
+        if chosen + r.n > frequent:
+            break
+        chosen, least = chosen + r.n, r.bin
+    top = [] if least is None else sorted(binned.where(F.col("bin") >= least).select("word", "c").collect(), key=lambda r: (-r.c, bytes(r.word)))
     single = [bytes(r.word) for r in top[: own - 1]]
     words = {w: (i + 1, r.c) for i, (w, r) in enumerate(zip(single, top, strict=False))}
     words |= {bytes(r.word): (own + zlib.crc32(r.word) % shared, r.c) for r in top[own - 1 :]}
