@@ -32,9 +32,9 @@ class Files:
     """The driver's view of a folder in any store that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm = spark._jvm
+        self._jvm, self._gateway, self._conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
         self._path = lambda p: self._jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._path(root).getFileSystem(self._conf)
 
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
@@ -72,14 +72,15 @@ class Files:
             stream.close()
 
     def replace(self, path: str, text: str) -> None:
-        """Writes a small file beside its place and moves it there."""
+        """Writes a small file beside its place and moves it over what is there, in one step where the store can."""
         new = f"{path}.{uuid.uuid4().hex}.new"
         stream = self._fs.create(self._path(new), True)
         try:
             stream.write(text.encode())
         finally:
             stream.close()
-        if self._fs.exists(self._path(path)):
-            self._fs.delete(self._path(path), False)
-        if not self._fs.rename(self._path(new), self._path(path)):
-            raise OSError(f"{path} could not be replaced")
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        context.rename(self._fs.makeQualified(self._path(new)), self._fs.makeQualified(self._path(path)), options)
