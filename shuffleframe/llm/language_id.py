@@ -25,8 +25,8 @@ from .common import arrow_map
 
 #: Hashed n-grams.
 FEATURES = 8192
-#: Texts of each language that centroids are fitted on at most; languages, the most frequent first.
-SAMPLE, LANGUAGES = 1000, 200
+#: Texts of each language that centroids are fitted on at most, and of all languages; languages, the most frequent first.
+SAMPLE, SAMPLE_ALL, LANGUAGES = 1000, 20_000, 200
 CENTROIDS, ROUNDS = 3, 12
 #: A text is rejected beyond the distance (1 - cosine) of this many times that of the language's farthest sampled text.
 SLACK = 1.25
@@ -150,6 +150,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     languages = sorted(sizes)
     if not languages:
         return Model(idf, [], np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
+    sample = max(1, min(sample, SAMPLE_ALL // len(languages)))
     # a hash is uniform, so this part of the range holds about twice the sample; a limit by language takes the rest away
     share = {k: min(1.0, 2.0 * sample / n) for k, n in sizes.items()}
     cut = F.lit(None).cast("double")
@@ -167,16 +168,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
                     at = np.flatnonzero(found)
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([at.astype("<u2").tobytes() + np.minimum(found[at], 2**31 - 1).astype("<i4").tobytes()])], names=["lang", "v"])
 
-    by_lang: dict[str, list[np.ndarray]] = {k: [] for k in languages}
-    for r in arrow_map(ranked.select("text", "lang"), vectors, "lang string, v binary").toLocalIterator():  # sample x languages rows at most
-        n_at = len(r.v) // 6
-        dense = np.zeros(FEATURES, np.float32)
-        dense[np.frombuffer(r.v[: 2 * n_at], "<u2")] = np.log1p(np.frombuffer(r.v[2 * n_at :], "<i4"))
-        by_lang[r.lang].append(unit(dense * idf))
+    by_lang: dict[str, list[bytes]] = {k: [] for k in languages}
+    for r in arrow_map(ranked.select("text", "lang"), vectors, "lang string, v binary").toLocalIterator():  # SAMPLE_ALL rows at most, sparse
+        by_lang[r.lang].append(bytes(r.v))
+
+    def dense(v: bytes) -> np.ndarray:
+        x, n_at = np.zeros(FEATURES, np.float32), len(v) // 6
+        x[np.frombuffer(v[: 2 * n_at], "<u2")] = np.log1p(np.frombuffer(v[2 * n_at :], "<i4"))
+        return unit(x * idf)
+
     found, owner, limit = [], [], []
     for i, k in enumerate(languages):
-        if by_lang[k]:
-            x = np.stack(sorted(by_lang[k], key=lambda v: v.tobytes()))
+        if by_lang.get(k):
+            x = np.stack([dense(v) for v in sorted(by_lang.pop(k))])
             c, of = spherical_kmeans(x, centroids)
             farthest = float(1 - (x @ c.T).max(axis=1).min())
             found += list(c)
