@@ -151,8 +151,8 @@ def _with_components(prints: DataFrame, distinct: DataFrame, found: DataFrame, n
     return prints.join(classes, names, "left").select("id", *names, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-#: near_copies: seeds, blocks of the fingerprint, orders of its bits, and the bits that copies may differ in.
-SEEDS, SPLIT, ORDERS, APART = (42, 43, 44, 45), 12, 6, 44
+#: near_copies: seeds, blocks of the fingerprint, orders of its bits, and the bits that copies may differ in: the 39 that a similarity of 0.8 stands for, and 1.6 standard deviations (5.7) for chance.
+SEEDS, SPLIT, ORDERS, APART = (42, 43, 44, 45), 12, 6, 48
 
 
 def order_keys(fps: np.ndarray, orders: int = ORDERS, split: int = SPLIT) -> np.ndarray:

@@ -1,11 +1,11 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline as C
-from shuffleframe.llm import decontaminate, language_id, quality_pu
-from shuffleframe.llm.simhash import fingerprint
+from shuffleframe.llm import decontaminate, language_id, quality_pu, simhash
 
 
 def test_against_plain_version(spark):
@@ -17,14 +17,17 @@ def test_against_plain_version(spark):
     # the classifier's fit is tested by itself; here its decisions
     scored = quality_pu.classify(frame(kept), spark.read.parquet(f"{sf}/labels.parquet")).collect()
     kept = sorted(r.doc_id for r in scored if r.score >= 0.7)
-    prints = {i: fingerprint(docs[i].text, 5) for i in kept}
+    prints = np.array([simhash.fingerprints(docs[i].text, 5, simhash.SEEDS) for i in kept])
+    blocks = simhash.order_keys(prints)
+    number = {i: k for k, i in enumerate(kept)}
+    alike = (np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= simhash.APART) & (blocks[:, None] == blocks[None]).any(axis=2)
     low = {i: i for i in kept}
     changed = True
     while changed:
         changed = False
         for a in kept:
             for b in kept:
-                if low[b] < low[a] and (prints[a] ^ prints[b]).bit_count() <= 6:
+                if low[b] < low[a] and alike[number[a], number[b]]:
                     low[a] = low[b]
                     changed = True
     kept = [i for i in kept if low[i] == i]
