@@ -3,10 +3,10 @@
 A text becomes a vector of hashed character n-grams (n = 1 to 3 within words and over their ends), weighted
 by TF-IDF and normalised to length one. Each language has several centroids, found by spherical k-means over
 the vectors of its texts, and a text has the language of the centroid of highest cosine. A text that is
-farther from its centroid than a distance learned from the language's sampled texts is marked as rejected.
+farther from its centroid than a distance learned for texts of its length is marked as rejected.
 
-The document frequencies cover all texts to learn from. The centroids are fitted on a bounded sample of
-them: the sample_size texts of each language whose id and text have the smallest hash.
+The document frequencies and the distances cover all texts to learn from, the distances equal texts once. The
+centroids are fitted on a bounded sample of them: the sample_size texts of each language whose text has the smallest hash.
 """
 
 from __future__ import annotations
@@ -28,8 +28,13 @@ FEATURES = 8192
 #: Texts of each language that centroids are fitted on at most, and of all languages; languages, the most frequent first.
 SAMPLE, SAMPLE_ALL, LANGUAGES = 1000, 20_000, 200
 CENTROIDS, ROUNDS = 3, 12
-#: A text is rejected beyond the distance (1 - cosine) of this many times that of the language's farthest sampled text.
-SLACK = 1.25
+#: A text is rejected whose cosine is below this part of the one that so many of its centroid's texts of like length reach:
+#: junk among the texts to learn from moves no limit while it is less than the rest of them.
+SLACK, REACHED = 0.5, 0.9
+#: Texts that the limit of a length is learned from at least. Bins of the cosine.
+LEAST, BINS = 50, 200
+#: Lengths: the number of binary digits of the number of different features.
+LENGTHS = FEATURES.bit_length() + 1
 UNDETERMINED = "und"
 #: Characters of a text that are looked at a time.
 PIECE = 1 << 20
@@ -79,6 +84,7 @@ class Model:
     languages: list[str]
     centroids: np.ndarray
     owner: np.ndarray
+    #: The cosine that a text must reach, by centroid and length.
     limit: np.ndarray
 
     def vector(self, text: str | None) -> np.ndarray | None:
@@ -98,7 +104,7 @@ class Model:
             for i, c, x in zip(at, best, cosine.max(axis=1), strict=True):
                 lang[i] = self.languages[self.owner[c]]
                 score[i] = min(max(float(x), 0.0), 1.0)
-                rejected[i] = 1 - x > self.limit[c]
+                rejected[i] = x < self.limit[c, length(vectors[i])]
         return lang, score, rejected
 
 
@@ -107,6 +113,53 @@ def unit(v: np.ndarray) -> np.ndarray:
     return (v / np.where(n > 0, n, 1)).astype(np.float32)
 
 
+def length(v: np.ndarray) -> int:
+    return int(np.count_nonzero(v)).bit_length()
+
+
+def least_cosines(seen: np.ndarray) -> np.ndarray:
+    """The cosine that texts of each length must reach, from the numbers of a centroid's texts (lengths x bins of the cosine).
+
+    A length with fewer than LEAST texts follows the next longer one that has them: of half as many features, the cosine with
+    the same centroid is smaller by the root of 2. Lengths above all such have the limit of the longest. Without any, all texts
+    count as of their median length.
+    """
+    if not seen.any():
+        return np.zeros(len(seen))
+    if not (seen.sum(axis=1) >= LEAST).any():
+        middle = np.searchsorted(2 * np.cumsum(seen.sum(axis=1)), seen.sum())
+        seen = np.where(np.arange(len(seen))[:, None] == middle, seen.sum(axis=0), 0)
+    learned = np.flatnonzero(seen.sum(axis=1) >= min(LEAST, seen.sum()))
+    below = np.cumsum(seen[learned], axis=1)
+    limit = [SLACK * np.searchsorted(x, (1 - REACHED) * x[-1], side="right") / seen.shape[1] for x in below]
+    at = np.minimum(np.searchsorted(learned, np.arange(len(seen))), len(learned) - 1)
+    return np.array(limit)[at] / np.sqrt(2) ** np.maximum(learned[at] - np.arange(len(seen)), 0)
+
+
+def limits(known: DataFrame, model: Model) -> np.ndarray:
+    """What model.limit is, from all texts of known (text, lang); equal texts of a language count once."""
+    shared = known.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        of = {k: np.flatnonzero(m.owner == i) for i, k in enumerate(m.languages)}
+        for rows in batches:
+            out = []
+            for value, name, h in zip(rows.column(0), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                v = m.vector(value.as_py()) if len(of.get(name, ())) else None
+                if v is not None:
+                    cosine = m.centroids[of[name]] @ v
+                    out.append((h, int(of[name][cosine.argmax()]), length(v), min(max(int(cosine.max() * BINS), 0), BINS - 1)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["h", "centroid", "length", "bin"])
+
+    found = arrow_map(known.select("text", "lang", F.xxhash64("text", "lang").alias("h")), run, "h long, centroid int, length int, bin int").distinct()
+    seen = np.zeros((len(model.centroids), LENGTHS, BINS), np.int32)
+    for r in found.groupBy("centroid", "length", "bin").count().toLocalIterator():
+        seen[r.centroid, r.length, r.bin] = r["count"]
+    return np.array([least_cosines(x) for x in seen]).reshape(-1, LENGTHS)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Centroids of length one and the number of each row's; starts from rows drawn with a fixed seed."""
     c = x[np.random.default_rng(0).choice(len(x), min(k, len(x)), replace=False)]
@@ -149,7 +202,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model(idf, [], np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
+        return Model(idf, [], np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros((0, LENGTHS)))
     sample = max(1, min(sample, SAMPLE_ALL // len(languages)))
     # a hash is uniform, so this part of the range holds about twice the sample; a limit by language takes the rest away
     share = {k: min(1.0, 2.0 * sample / n) for k, n in sizes.items()}
@@ -177,16 +230,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
         x[np.frombuffer(v[: 2 * n_at], "<u2")] = np.log1p(np.frombuffer(v[2 * n_at :], "<i4"))
         return unit(x * idf)
 
-    found, owner, limit = [], [], []
+    found, owner = [], []
     for i, k in enumerate(languages):
         if by_lang.get(k):
             x = np.stack([dense(v) for v in sorted(by_lang.pop(k))])
-            c, of = spherical_kmeans(x, centroids)
-            farthest = float(1 - (x @ c.T).max(axis=1).min())
+            c, _ = spherical_kmeans(x, centroids)
             found += list(c)
             owner += [i] * len(c)
-            limit += [min(1.0, SLACK * farthest + 1e-6)] * len(c)
-    return Model(idf, languages, np.stack(found) if found else np.zeros((0, FEATURES), np.float32), np.array(owner, np.int64), np.array(limit))
+    model = Model(idf, languages, np.stack(found) if found else np.zeros((0, FEATURES), np.float32), np.array(owner, np.int64), np.zeros((len(found), LENGTHS)))
+    model.limit = limits(known, model)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:

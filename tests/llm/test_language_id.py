@@ -67,3 +67,17 @@ def test_nothing_to_learn(spark):
 def test_held_out_accuracy(spark):
     got = queries.op2_language_id(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.95
+
+
+def test_rejects_scripts_and_noise_with_junk_in_training(spark):
+    """One-word and junk texts among those to learn from, and copies of them, switch no limit off; short clean texts stay."""
+    rng = random.Random(12)
+    noise = lambda n: " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(2, 9))) for _ in range(n))
+    known = [(text(rng, k, rng.choice([1, 2, 3, 8, 30, 100])), k) for k in ("en", "de", "fr") for _ in range(500)]
+    known += [(t, k) for k in ("en", "de", "fr") for t in [noise(1), noise(5), noise(40), "SCUM!! TION!! " * 9, "Erö."] for _ in range(100)]
+    model = L.fit(spark.createDataFrame(known, "text string, lang string"))
+    odd = [x * n for x in ("мама мыла раму и пошла в лес ", "漢字 かな 日本 の 人 が ") for n in (1, 4, 40)] + [noise(n) for n in (8, 30, 100, 300)]
+    assert all(model.predict(odd)[2])
+    clean = [(text(rng, k, n), k) for k in ("en", "de", "fr") for n in (1, 2, 3, 8, 30, 100) for _ in range(10)]
+    got = model.predict([t for t, _ in clean])
+    assert not any(got[2])
