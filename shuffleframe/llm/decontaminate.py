@@ -8,6 +8,10 @@ checked: the same word of the item must always stand for the same word of the do
 positions in document and item). Diagonals that hold enough of an item's windows are hits. Windows with more
 slots than other words are joined by their plain words.
 
+Further windows are joined loosely: those with more slots than other words by their template, if any other word is in
+them, and those in which capitalised words that begin sentences are names too, as they may be. A diagonal that only
+holds enough windows with these needs as many other words as slots can leave in one window: half its width.
+
 Only windows that may match leave a task: a bitmap of fixed size, made by aggregation from the hashes of all
 benchmark windows, is broadcast, and what passes it is hash-joined with the benchmark's windows. The
 bitmap never loses a match, whatever the size of the benchmark.
@@ -92,9 +96,15 @@ _WORDS = _Words()
 
 def template(words: list[str], after_number: bool = False, begins: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[bool, bool]]:
     """Template of words that follow others: (hashes of the template words, their kinds or 0, hashes of their plain words, state for the words that follow)."""
+    hashes, kinds, plain, _, state = _templates(words, after_number, begins)
+    return hashes, kinds, plain, state
+
+
+def _templates(words: list[str], after_number: bool, begins: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[bool, bool]]:
+    """As template, with the kinds of the template in which every capitalised word is a name before the state."""
     if not words:
-        nothing = np.zeros(0, np.uint64)
-        return nothing, np.zeros(0, np.int8), nothing, (after_number, begins)
+        nothing, kinds = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        return nothing, kinds, nothing, kinds, (after_number, begins)
     _WORDS.start(len(words))
     numbers = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
     digest, ends = _WORDS.digest[numbers], _WORDS.ends[numbers]
@@ -104,11 +114,16 @@ def template(words: list[str], after_number: bool = False, begins: bool = True)
     number = kinds == NUMBER
     before = np.concatenate([[after_number], number[:-1]])[: len(number)]
     kinds[(kinds == UNIT) & ~before] = 0
+    free = np.where((kinds == 0) & _WORDS.capital[numbers][real], np.int8(NAME), kinds)
     kinds[(kinds == 0) & name] = NAME
+    return _hashed(kinds, plain), kinds, plain, free, (bool(number[-1]) if len(number) else after_number, bool(ends[-1]))
+
+
+def _hashed(kinds: np.ndarray, plain: np.ndarray) -> np.ndarray:
     hashes = plain.copy()
     for k, h in _HASHES.items():
         hashes[kinds == k] = h
-    return hashes, kinds, plain, (bool(number[-1]) if len(number) else after_number, bool(ends[-1]))
+    return hashes
 
 
 def template_windows(hashes: np.ndarray, kinds: np.ndarray, plain: np.ndarray, width: int) -> np.ndarray:
@@ -121,6 +136,22 @@ def template_windows(hashes: np.ndarray, kinds: np.ndarray, plain: np.ndarray, w
     return found
 
 
+def loose_windows(kinds: np.ndarray, plain: np.ndarray, free: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(kinds, positions, hashes) of the windows that are joined loosely: those with more slots than other words by their template, and those that hold a name only by free; none without another word."""
+    out = []
+    for of, wanted in ((kinds, None), (free, kinds != free)):
+        slots = np.concatenate([[0], np.cumsum(of > 0)])
+        n = slots[width:] - slots[:-width]
+        some = 2 * n > width
+        if wanted is not None:
+            more = np.concatenate([[0], np.cumsum(wanted)])
+            some = more[width:] > more[:-width]
+        at = np.flatnonzero(some & (n < width))
+        if len(at):
+            out.append((of, at, window_hashes(_hashed(of, plain), width)[at]))
+    return out
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """The hash of each window of width words."""
     n = len(hashes) - width + 1
@@ -140,16 +171,22 @@ def _slots(kinds: np.ndarray, plain: np.ndarray, at: int, width: int) -> list[in
 
 def _pieces(text: str | None, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """A whole text's template in pieces that overlap by so many words: (position of the first, hashes, kinds, plain)."""
+    for base, hashes, kinds, plain, _ in _template_pieces(text, overlap):
+        yield base, hashes, kinds, plain
+
+
+def _template_pieces(text: str | None, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As _pieces, with the kinds of the template in which every capitalised word is a name."""
     state, base = (False, True), 0
-    held = [np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)]
+    held = [np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.int8)]
     text, at = text or "", 0
     while at < len(text):
         to = len(text)
         if to - at > PIECE and (blank := _SPACE.search(text, at + PIECE)):
             to = blank.start()
-        hashes, kinds, plain, state = template(text[at:to].split(), *state)
+        *parts, state = _templates(text[at:to].split(), *state)
         at = to
-        held = [np.concatenate([h, x]) for h, x in zip(held, (hashes, kinds, plain), strict=True)]
+        held = [np.concatenate([h, x]) for h, x in zip(held, parts, strict=True)]
         yield base, *held
         cut = max(0, len(held[0]) - overlap)
         base += cut
@@ -157,7 +194,7 @@ def _pieces(text: str | None, overlap: int) -> Iterator[tuple[int, np.ndarray, n
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(item_id, pos, width, n_windows, h, slots) for the windows of each item; items without template words have none."""
+    """(item_id, item_pos, width, n_windows, h, item_slots, item_loose, others) for the windows of each item; others: the positions of the words that are no slots. Items without template words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -165,17 +202,24 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
             for i, value in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 words = (value.as_py() or "").split()
                 for begins in (True, False):  # in a document, the item's first word may stand within a sentence
-                    hashes, kinds, plain, _ = template(words, begins=begins)
-                    if i is not None and len(hashes):
-                        w = min(width, len(hashes))
-                        found = template_windows(hashes, kinds, plain, w).view(np.int64).tolist()
-                        out += [(i, p, w, len(found), h, _slots(kinds, plain, p, w)) for p, h in enumerate(found if begins else found[:1])]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds_, strict=True)], names=["item_id", "item_pos", "width", "n_windows", "h", "item_slots"])
+                    hashes, kinds, plain, free, _ = _templates(words, False, begins)
+                    if i is None or not len(hashes):
+                        continue
+                    w = min(width, len(hashes))
+                    found = template_windows(hashes, kinds, plain, w)
+                    sets = [(False, kinds, np.arange(len(found)), found), *((True, *x) for x in loose_windows(kinds, plain, free, w))]
+                    for loose, of, at, h in sets:
+                        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                            if begins or p == 0:
+                                others = (p + np.flatnonzero(of[p : p + w] == 0)).tolist()
+                                out.append((i, p, w, len(found), x, _slots(of, plain, p, w), loose, others))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64()))
+            names = ["item_id", "item_pos", "width", "n_windows", "h", "item_slots", "item_loose", "others"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds_, strict=True)], names=names)
 
     frame = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text"))
-    return arrow_map(frame, run, "item_id long, item_pos long, width int, n_windows long, h long, item_slots array<long>")
+    return arrow_map(frame, run, "item_id long, item_pos long, width int, n_windows long, h long, item_slots array<long>, item_loose boolean, others array<long>")
 
 
 def bitmap(windows: DataFrame) -> np.ndarray:
@@ -189,7 +233,7 @@ def bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def candidate_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, doc_pos, width, h, doc_slots) for the documents' windows whose hash may be one of windows; every width of windows is looked for."""
+    """(doc_id, doc_pos, width, h, doc_slots, doc_loose) for the documents' windows whose hash may be one of windows; every width of windows is looked for."""
     widths = sorted(r.width for r in windows.select("width").distinct().collect())
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(windows)))
 
@@ -201,16 +245,21 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id
                 if i is None:
                     continue
                 for width in widths:
-                    for base, hashes, kinds, plain in _pieces(value.as_py(), width - 1):
+                    for base, hashes, kinds, plain, free in _template_pieces(value.as_py(), width - 1):
                         found = template_windows(hashes, kinds, plain, width)
-                        for p in np.flatnonzero(there[(found >> np.uint64(40)).astype(np.int64)]).tolist():
-                            out.append((i, base + p, width, int(found[p].view(np.int64)), _slots(kinds, plain, p, width)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds_, strict=True)], names=["doc_id", "doc_pos", "width", "h", "doc_slots"])
+                        sets = [(False, kinds, np.arange(len(found)), found)]
+                        if len(found):
+                            sets += [(True, *x) for x in loose_windows(kinds, plain, free, width)]
+                        for loose, of, at, h in sets:
+                            for k in np.flatnonzero(there[(h >> np.uint64(40)).astype(np.int64)]).tolist():
+                                p = int(at[k])
+                                out.append((i, base + p, width, int(h[k].view(np.int64)), _slots(of, plain, p, width), loose))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds_, strict=True)], names=["doc_id", "doc_pos", "width", "h", "doc_slots", "doc_loose"])
 
     frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return arrow_map(frame, run, "doc_id long, doc_pos long, width int, h long, doc_slots array<long>")
+    return arrow_map(frame, run, "doc_id long, doc_pos long, width int, h long, doc_slots array<long>, doc_loose boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -225,8 +274,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = found.join(items, ["h", "width"]).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
     # the slots of a diagonal as pairs of words; a diagonal has no more slots than the item has words, so the sets are bounded
     pairs = F.zip_with("item_slots", "doc_slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    lines = met.groupBy("doc_id", "item_id", "diagonal").agg(F.count_distinct("item_pos").alias("windows"), F.max("n_windows").alias("n_windows"), F.max("width").alias("width"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one_each = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    enough = F.col("windows") >= F.least(F.lit(share) * F.col("n_windows"), F.greatest(F.lit(ENOUGH) - F.col("width") + 1, F.lit(1)))
-    hits = lines.where(one_each & enough).withColumn("reparameterised", F.exists("pairs", lambda p: p["i"] != p["d"]))
+    strict = ~F.col("item_loose") & ~F.col("doc_loose")
+    aggregates = [F.max("n_windows").alias("n_windows"), F.max("width").alias("width"), F.size(F.array_distinct(F.flatten(F.collect_set("others")))).alias("others")]
+    for name, part in (("strict", strict), ("all", F.lit(True))):
+        aggregates += [F.count_distinct(F.when(part, F.col("item_pos"))).alias(f"{name}_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(part, pairs)))).alias(f"{name}_pairs")]
+    lines = met.groupBy("doc_id", "item_id", "diagonal").agg(*aggregates)
+
+    def holds(name: str):
+        one_each = F.size(F.array_distinct(F.transform(f"{name}_pairs", lambda p: p["i"]))) == F.size(f"{name}_pairs")
+        least = F.least(F.lit(share) * F.col("n_windows"), F.greatest(F.lit(ENOUGH) - F.col("width") + 1, F.lit(1)))
+        return one_each & (F.col(f"{name}_windows") >= least)
+
+    loose = holds("all") & (2 * F.col("others") >= F.col("width"))
+    of = lambda column: F.when(loose, F.col(f"all_{column}")).otherwise(F.col(f"strict_{column}"))
+    hits = lines.where(holds("strict") | loose).select("doc_id", "item_id", "n_windows", of("windows").alias("windows"), F.exists(of("pairs"), lambda p: p["i"] != p["d"]).alias("reparameterised"))
     return hits.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("n_windows").alias("n_windows"), F.min("reparameterised").alias("reparameterised"))

@@ -57,6 +57,22 @@ def test_number_tables_match_only_exactly(spark):
     assert names_of(run(spark, [(1, f"x {item} y"), (2, "x 11 12 13 14 15 16 17 18 19 20 y")], [(1, item)])) == {(1, 1)}
 
 
+def test_names_that_begin_sentences_and_dense_windows(spark):
+    """Re-parameterised: names that only begin sentences, and windows with more slots than other words; wrong where a word stands for two."""
+    names, dense = "Tom has 5 apples. Tom buys 3 more. Tom eats 2 apples today.", "If Tom pays 5 dollars and Anna pays 7 dollars, Bob 9 dollars"
+    other = names.replace("Tom", "Bob").replace("5", "8")
+    docs = [
+        (1, f"{filler(20)}. {other} {filler(21)}"),
+        (2, f"{filler(22)}. {dense.replace('Tom', 'Eva').replace('Anna', 'Karl').replace('Bob', 'Mia').replace('5', '11').replace('7', '13').replace('9', '17')} {filler(23)}"),
+        (3, f"{filler(24)}. {other.replace('Bob eats', 'Eva eats').replace('Bob buys', 'Mia buys')} {filler(25)}"),
+        (4, f"{filler(26)}. {names} {filler(27)} {dense}"),
+        (5, "Eva has 4 pears. Karl sells 3 more. Mia wants 6 plums now. If 5 dollars and 7 dollars, 9 dollars"),
+    ]
+    rows = run(spark, docs, [(1, names), (2, dense), (3, "Tom has 5")])
+    assert {(r.doc_id, r.item_id): r.reparameterised for r in rows if r.item_id < 3} == {(1, 1): True, (2, 2): True, (4, 1): False, (4, 2): False}
+    assert {r.doc_id for r in rows if r.item_id == 3} == {4}  # too few other words to tell
+
+
 def test_pieces_are_like_the_whole(monkeypatch):
     text = f"{filler(10, 300)} {ITEM} 5 km. {filler(11, 100)}"
     whole = D.template(text.split())
