@@ -43,3 +43,18 @@ def test_balance_without_giants(spark):
     got = S.shard_documents(docs.withColumn("text", docs.text), 24, cells=64).groupBy("shard").agg({"size": "sum", "*": "count"}).toPandas()
     size, n = got["sum(size)"], got["count(1)"]
     assert size.max() / size.mean() < 1.02 and n.max() / n.mean() < 1.05
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rows = [(i, f"small {i} " + "word " * (i % 150)) for i in range(12_000)]
+    heavy = [f"group {g} " + "word " * n for g, n in enumerate([74, 74, 74, 74])]
+    rows += [(20_000 + 1000 * g + i, t) for g, (t, n) in enumerate(zip(heavy, [50, 150, 250, 300], strict=True)) for i in range(n)]
+    giant = "larger than a shard " + "word " * 75
+    rows += [(40_000 + i, giant) for i in range(900)]
+    got = S.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 24).toPandas()
+    got["text"] = got["id"].map(dict(rows))
+    shards = got.groupby("text")["shard"].nunique()
+    assert (shards.drop(giant) == 1).all()
+    assert shards[giant] == 2
+    for loads in (got.groupby("shard")["size"].sum(), got.groupby("shard")["tokens"].sum(), got.groupby("shard").size()):
+        assert len(loads) == 24 and loads.max() / loads.mean() < 1.04
