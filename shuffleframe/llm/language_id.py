@@ -21,12 +21,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from .common import arrow_map
+from .common import arrow_map, materialise
 
 #: Hashed n-grams.
 FEATURES = 8192
-#: Texts of each language that centroids are fitted on at most, and of all languages; languages, the most frequent first.
-SAMPLE, SAMPLE_ALL, LANGUAGES = 1000, 20_000, 200
+#: Different texts of each language that centroids are fitted on at most.
+SAMPLE = 1000
 CENTROIDS, ROUNDS = 3, 12
 #: A text is rejected whose cosine is below this part of the one that so many of its centroid's texts of like length reach:
 #: junk among the texts to learn from moves no limit while it is less than the rest of them.
@@ -199,44 +199,37 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
 
     # the texts of least hash for each language, as (lang, hash) first: only the chosen texts are gathered
     keyed = known.withColumn("h", F.xxhash64("text", "lang"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(sizes)
+    sizes = materialise(keyed.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    languages = sorted(r.lang for r in sizes.select("lang").toLocalIterator())
     if not languages:
         return Model(idf, [], np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros((0, LENGTHS)))
-    sample = max(1, min(sample, SAMPLE_ALL // len(languages)))
-    # a hash is uniform, so this part of the range holds about twice the sample; a limit by language takes the rest away
-    share = {k: min(1.0, 2.0 * sample / n) for k, n in sizes.items()}
-    cut = F.lit(None).cast("double")
-    for k, part in share.items():
-        cut = F.when(F.col("lang") == k, F.lit(float(part))).otherwise(cut)
+    # a hash is uniform, so of a language's different texts this part of the range holds more than the sample, or all; the rank takes the rest away
+    cuts = F.broadcast(sizes.select("lang", ((2.0 * sample + 200) / F.col("n")).alias("cut")))
     uniform = F.shiftrightunsigned("h", 11) / float(1 << 53)
-    few = keyed.where(uniform < cut).groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies count once
+    few = keyed.join(cuts, "lang").where(uniform < F.col("cut")).groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies count once
     ranked = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for value, name in zip(rows.column(0), rows.column(1), strict=True):
-                found = counts(value.as_py())
-                if found is not None:
-                    at = np.flatnonzero(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([at.astype("<u2").tobytes() + np.minimum(found[at], 2**31 - 1).astype("<i4").tobytes()])], names=["lang", "v"])
-
-    by_lang: dict[str, list[bytes]] = {k: [] for k in languages}
-    for r in arrow_map(ranked.select("text", "lang"), vectors, "lang string, v binary").toLocalIterator():  # SAMPLE_ALL rows at most, sparse
-        by_lang[r.lang].append(bytes(r.v))
+                counted = counts(value.as_py())
+                if counted is not None:
+                    at = np.flatnonzero(counted)
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([at.astype("<u2").tobytes() + np.minimum(counted[at], 2**31 - 1).astype("<i4").tobytes()])], names=["lang", "v"])
 
     def dense(v: bytes) -> np.ndarray:
         x, n_at = np.zeros(FEATURES, np.float32), len(v) // 6
         x[np.frombuffer(v[: 2 * n_at], "<u2")] = np.log1p(np.frombuffer(v[2 * n_at :], "<i4"))
         return unit(x * idf)
 
-    found, owner = [], []
-    for i, k in enumerate(languages):
-        if by_lang.get(k):
-            x = np.stack([dense(v) for v in sorted(by_lang.pop(k))])
-            c, _ = spherical_kmeans(x, centroids)
-            found += list(c)
-            owner += [i] * len(c)
+    def fitted(rows: pa.Table) -> pa.Table:  # one language: sample rows at most
+        c, _ = spherical_kmeans(np.stack([dense(v) for v in sorted(rows.column("v").to_pylist())]), centroids)
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(c)), "k": pa.array(range(len(c)), pa.int32()), "c": pa.array([x.astype("<f4").tobytes() for x in c], pa.binary())})
+
+    by_lang = arrow_map(ranked.select("text", "lang"), vectors, "lang string, v binary").groupBy("lang").applyInArrow(fitted, "lang string, k int, c binary")
+    number = {k: i for i, k in enumerate(languages)}
+    learned = sorted((number[r.lang], r.k, bytes(r.c)) for r in by_lang.toLocalIterator())  # the model itself
+    found, owner = [np.frombuffer(c, "<f4") for _, _, c in learned], [i for i, _, _ in learned]
     model = Model(idf, languages, np.stack(found) if found else np.zeros((0, FEATURES), np.float32), np.array(owner, np.int64), np.zeros((len(found), LENGTHS)))
     model.limit = limits(known, model)
     return model

@@ -81,3 +81,16 @@ def test_rejects_scripts_and_noise_with_junk_in_training(spark):
     clean = [(text(rng, k, n), k) for k in ("en", "de", "fr") for n in (1, 2, 3, 8, 30, 100) for _ in range(10)]
     got = model.predict([t for t, _ in clean])
     assert not any(got[2])
+
+
+def test_every_language_is_learned(spark):
+    """Languages whose rows are mostly copies of few texts, and more languages than 200."""
+    rng = random.Random(21)
+    few = [(text(rng, k), k) for k in ("de", "fr") for _ in range(20)]
+    known = [(t, k) for t, k in few for _ in range(1_000)] + [(text(rng, "en"), "en") for _ in range(300)]
+    model = L.fit(spark.createDataFrame(known, "text string, lang string"), sample=20)
+    assert [(model.owner == i).sum() for i in range(3)] == [3] * 3
+    assert model.predict([t for t, _ in few])[0] == [k for _, k in few]
+    many = {f"l{i:03d}": " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)) for i in range(205)}
+    model = L.fit(spark.createDataFrame([(t, k) for k, t in many.items()], "text string, lang string"))
+    assert model.predict(list(many.values()))[0] == list(many)
