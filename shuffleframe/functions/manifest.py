@@ -57,10 +57,12 @@ def check_index(data: bytes | None, data_size: int) -> list[int] | None:
     return [b - a for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def size_string(n: float) -> str:
-    """A number of bytes with two decimals and a binary unit."""
+def size_string(n: float, scale: int = 1024) -> str:
+    """A number of bytes with two decimals and a unit of scale (1024 or 1000) times the one before, the smallest in which no more than scale are left; without a unit, one decimal."""
+    if scale not in (1000, 1024):
+        raise ValueError("the scale is 1000 or 1024")
     value, units = float(n), ["", "K", "M", "G", "T"]
-    while value >= 1024 and len(units) > 1:
-        value /= 1024
+    while value > scale and len(units) > 1:
+        value /= scale
         units.pop(0)
     return f"{value:.1f}" if units[0] == "" else f"{value:.2f}{units[0]}"

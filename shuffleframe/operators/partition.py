@@ -28,9 +28,17 @@ def with_reduce_id(df: DataFrame, keys: tuple[str, ...] | list[str], n: int, mod
     return df.withColumn("reduce_id", reduce_id(df, keys, n, mode))
 
 
-def exchange(df: DataFrame, spec: ExchangeSpec) -> DataFrame:
-    """df dealt to spec.num_partitions partitions, sorted within each if order_by is given. One shuffle; the number of partitions is kept as asked for."""
+def exchange(df: DataFrame, spec: ExchangeSpec, start: int | None = None, end: int | None = None) -> DataFrame:
+    """df dealt to spec.num_partitions partitions, sorted within each if order_by is given. One shuffle; the number of partitions is kept as asked for.
+
+    With start and end only the rows of the partitions start to end - 1 are sent, the others are empty; not for ranges and round robin, whose partitions are known only after they are dealt.
+    """
     n = spec.num_partitions
+    if start is not None or end is not None:
+        if spec.mode not in ("mod", "murmur3"):
+            raise ValueError("only a partition that a row's key tells can be left out before the exchange")
+        to = reduce_id(df, spec.keys, n, spec.mode)
+        df = df.where((to >= (start or 0)) & (to < (n if end is None else end)))
     if spec.mode == "round_robin":
         dealt = df.repartition(n)
     elif spec.mode == "range":
@@ -70,9 +78,14 @@ def skew_report(sizes: DataFrame) -> DataFrame:
 
 
 def row_index(df: DataFrame, order_by: list[str | Column], n: int | None = None, name: str = "row_index") -> DataFrame:
-    """df with each row's number, from 0, in the order given. Rows are dealt by ranges and sorted in them; the numbers of rows in earlier partitions (one number a partition) are added, so no task sees all rows."""
+    """df with each row's number, from 0, in the order given. Rows are dealt by ranges and sorted in them, and numbered as they then lie."""
     n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lying = materialise(placed(df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)))
+    return row_index_as_placed(df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by), name)
+
+
+def row_index_as_placed(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """df with each row's number, from 0, by partition and position, for rows that lie in order already. The numbers of rows in earlier partitions (one number a partition) are added, so no task sees all rows."""
+    lying = materialise(placed(df))
     counts = sorted((r.partition, r.n) for r in lying.groupBy("partition").agg(F.count(F.lit(1)).alias("n")).collect())
     before, rows = 0, []
     for part, k in counts:

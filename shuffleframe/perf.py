@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions.manifest import size_string
 from .plans.spec import ExchangeSpec
-from .sources.store import BACKENDS, ExchangeStore
+from .sources.store import ExchangeStore
+from .storage import BACKENDS
 
 APP = "perf"
 
@@ -32,6 +33,7 @@ class PerfOptions:
     read_only: bool = False
     backend: str = "fs"
     root: str | None = None
+    scale: int = 1024
 
     @property
     def total_bytes(self) -> int:
@@ -51,6 +53,7 @@ def parse(args: list[str]) -> PerfOptions:
     p.add_argument("-o", "--overwrite", action="store_true")
     p.add_argument("-ro", "--ro", "--readOnly", dest="read_only", action="store_true")
     p.add_argument("--root", default=None)
+    p.add_argument("--scale", type=int, default=d.scale, choices=(1000, 1024), help="of the units in the report")
     return PerfOptions(**vars(p.parse_args(args)))
 
 
@@ -80,18 +83,19 @@ def write_phase(spark: SparkSession, store: ExchangeStore, o: PerfOptions) -> fl
 def read_phase(store: ExchangeStore, o: PerfOptions) -> tuple[float, int, int]:
     """Reads every block of a mapper and a reducer once: seconds, blocks, bytes."""
     began = time.perf_counter()
-    got = store.read(o.shuffle_id, strict=False).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data") + F.crc32("data") * 0).alias("bytes")).first()
+    got = store.read(o.shuffle_id).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data") + F.crc32("data") * 0).alias("bytes")).first()
     return time.perf_counter() - began, got.n, got.bytes or 0
 
 
 def execute(spark: SparkSession, o: PerfOptions) -> dict:
     store = ExchangeStore(spark, o.root, APP, o.backend, clear_on_close=False)
     report: dict = {"options": asdict(o)}
+    size = lambda n: size_string(n, o.scale)
     if not o.read_only:
         s = write_phase(spark, store, o)
-        report |= {"write_s": round(s, 3), "bytes_written": size_string(o.total_bytes), "write_bandwidth": f"{size_string(o.total_bytes / s)}B/s"}
+        report |= {"write_s": round(s, 3), "bytes_written": size(o.total_bytes), "write_bandwidth": f"{size(o.total_bytes / s)}B/s"}
     s, blocks, n = read_phase(store, o)
-    return report | {"read_s": round(s, 3), "blocks_read": blocks, "bytes_read": size_string(n), "read_bandwidth": f"{size_string(n / s)}B/s", "partition_size": size_string(n / max(blocks, 1))}
+    return report | {"read_s": round(s, 3), "blocks_read": blocks, "bytes_read": size(n), "read_bandwidth": f"{size(n / s)}B/s", "partition_size": size(n / max(blocks, 1))}
 
 
 def main(args: list[str] | None = None) -> int:

@@ -6,16 +6,22 @@ Queries about placement read where rows physically lie (partition and position),
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import perf
 from ..functions import manifest
+from ..metrics import stage_metrics
 from ..operators import aggregate, partition, runs, sorting
-from ..sources.store import ExchangeStore
+from ..sources import indexed
+from ..sources.store import CorruptExchange, ExchangeStore, Listener
 from ..storage import materialise, new_folder
-from .spec import ExchangeSpec, explain_strategy
+from ..streaming.sink import into_store
+from .options import OPTIONS, option
+from .spec import ExchangeSpec, strategies
 
 #: Partitions of most queries, and the rows of a batch.
 N, BATCH = 7, 1000
@@ -37,8 +43,9 @@ def _long(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
-def _store(spark: SparkSession) -> ExchangeStore:
-    return ExchangeStore(spark, new_folder(spark, "store"), "queries", clear_on_close=False)
+def _store(spark: SparkSession, **options) -> ExchangeStore:
+    """A store that stays, as results are lazy; storage.release() deletes its folder."""
+    return ExchangeStore.configured(spark, **({"root": new_folder(spark, "store"), "app_id": "queries", "clear_on_close": False} | options))
 
 
 def hash_partition_sizes(spark, d):
@@ -63,8 +70,7 @@ def round_robin_balance(spark, d):
 
 
 def partition_range_read(spark, d):
-    dealt = partition.exchange(_items(spark, d, "l_orderkey", "l_partkey", "l_quantity"), ExchangeSpec(("l_orderkey",), N))
-    return partition.read_partitions(dealt, 2, 5)
+    return partition.exchange(_items(spark, d, "l_orderkey", "l_partkey", "l_quantity"), ExchangeSpec(("l_orderkey",), N), 2, 5)
 
 
 def reduce_by_key_sum(spark, d):
@@ -80,9 +86,8 @@ def reduce_by_key_count(spark, d):
 
 
 def ordered_aggregate(spark, d):
-    """Reduce-side pipeline: exchange, aggregate, sort within partitions; with each key's partition and place."""
-    sums = aggregate.reduce_by_key(partition.exchange(_items(spark, d, "l_partkey", "l_quantity"), ExchangeSpec(("l_partkey",), N)), ["l_partkey"], {"sum_qty": F.sum("l_quantity")})
-    dealt = sorting.partition_sort(sums, ["l_partkey"], N)
+    """Reduce-side pipeline: exchange, aggregate, sort within partitions, in one exchange; with each key's partition and place."""
+    dealt = sorting.aggregate_sort(_items(spark, d, "l_partkey", "l_quantity"), ["l_partkey"], {"sum_qty": F.sum("l_quantity")}, N)
     return _long(partition.placed(dealt), "partition", "position")
 
 
@@ -148,7 +153,23 @@ def range_partition_disjoint(spark, d):
 def kway_merge(spark, d):
     orders = _orders(spark, d, "o_orderkey", "o_totalprice")
     merged = sorting.kway_merge([orders.where(F.pmod("o_orderkey", F.lit(4)) == i) for i in range(4)], ["o_totalprice", "o_orderkey"], N)
-    return partition.row_index(merged, ["o_totalprice", "o_orderkey"], N)
+    return partition.row_index_as_placed(merged)
+
+
+def hash_order_sort(spark, d):
+    """Rows in the order of their key's hash within partitions: none out of order, and the rows of each key together."""
+    dealt = materialise(partition.placed(sorting.hash_sort(_orders(spark, d, "o_custkey"), ["o_custkey"], N)).withColumn("h", F.hash("o_custkey")))
+    # neighbours in a partition; N partitions
+    before = W.partitionBy("partition").orderBy("position")
+    steps = dealt.withColumn("fell", F.lag("h").over(before) > F.col("h")).withColumn("begins", ~F.col("o_custkey").eqNullSafe(F.lag("o_custkey").over(before)))
+    return steps.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("fell").alias("out_of_order"), F.count_if("begins").alias("runs_of_keys"))
+
+
+def group_by_key_chunks(spark, d):
+    """A hot key's values in chunks of 100 at most: how many chunks and values each key has, and its smallest and largest value."""
+    lists = aggregate.group_by_key_in_chunks(_items(spark, d, "l_linenumber", "l_orderkey"), ["l_linenumber"], "l_orderkey", 100, "orders")
+    found = lists.groupBy(F.col("l_linenumber").cast("long").alias("l_linenumber")).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("orders").cast("long")).alias("n_values"), F.max(F.size("orders").cast("long")).alias("largest"), F.min(F.array_min("orders")).alias("low"), F.max(F.array_max("orders")).alias("high"))
+    return found
 
 
 def _map_lengths(spark, d):
@@ -179,9 +200,22 @@ def manifest_validate(spark, d):
 
 
 def index_file_roundtrip(spark, d):
-    """Offsets as big-endian index bytes and back, in columns."""
-    hexed = manifest.lengths_to_offsets(_map_lengths(spark, d), ["map_id"], "reduce_id").withColumn("word", F.lpad(F.hex(F.col("end").cast("long")), 16, "0"))
-    return hexed.select("map_id", "reduce_id", F.lower("word").alias("word"), F.conv("word", 16, 10).cast("long").alias("end"))
+    """Index files of map outputs with a byte a row, written and read again: each partition's end, also as the file's big-endian word."""
+    ends = indexed.read_index(spark, _index_files(spark, d)).where("i > 0")
+    return ends.select(F.col("map_id").cast("long").alias("map_id"), (F.col("i") - 1).cast("long").alias("reduce_id"), F.lower(F.lpad(F.hex("offset"), 16, "0")).alias("word"), F.col("offset").alias("end"))
+
+
+def _index_files(spark, d) -> str:
+    folder = new_folder(spark, "maps")
+    content = _map_lengths(spark, d).select("map_id", "reduce_id", F.expr("repeat(cast(reduce_id as string), cast(length as int))").alias("content"))
+    indexed.write_maps(content, folder, 1, N).collect()  # a row a map
+    return folder
+
+
+def index_partitions(spark, d):
+    """The partitions 2 to 4 of the same files: where their bytes lie, and the bytes' MD5."""
+    found = indexed.read_partitions(spark, _index_files(spark, d), 2, 5, content=False)
+    return _long(found.drop("shuffle_id"), "map_id", "reduce_id")
 
 
 def partition_checksum(spark, d):
@@ -218,6 +252,141 @@ def store_recommit(spark, d):
     return store.read(1).groupBy(F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("l_quantity").alias("min_qty"))
 
 
+def store_invalid_commit(spark, d):
+    """An attempt whose files are gone doesn't count: the commit before it stays."""
+    store = _store(spark)
+    items = _items(spark, d, "l_orderkey", "l_quantity")
+    store.put(items.where("l_quantity <= 10"), 1, ExchangeSpec(("l_orderkey",), N))
+    bad = store.write(items.where("l_quantity > 10"), 1, ExchangeSpec(("l_orderkey",), N))
+    store._files.delete(f"{bad.path}/data/reduce_id=3")
+    taken = store.commit(bad)
+    return store.read(1).groupBy(F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.max("l_quantity").alias("max_qty")).withColumn("taken", F.lit(taken))
+
+
+def store_skipped_partitions(spark, d):
+    """A partition's files are gone: what is left out of a read that isn't strict, by map and partition."""
+    store = _store(spark)
+    attempt = store.put(_items(spark, d, "l_orderkey", "l_linenumber"), 1, ExchangeSpec(("l_orderkey",), N), map_id=F.col("l_linenumber"))
+    store._files.delete(f"{attempt.path}/data/reduce_id=3")
+    return _long(store.skipped(1).select("map_id", "reduce_id", "told_rows", F.coalesce("found_rows", F.lit(0)).alias("found_rows")), "map_id", "reduce_id")
+
+
+def store_read_around_damage(spark, d):
+    """A partition's file holds garbage: the rows that a read that isn't strict gives, by partition."""
+    store = _store(spark)
+    attempt = store.put(_items(spark, d, "l_orderkey", "l_quantity").repartition(1), 1, ExchangeSpec(("l_orderkey",), N))
+    _damage(store, attempt, 4)
+    return store.read(1, 2, 6, strict=False).groupBy(F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty"))
+
+
+def _damage(store: ExchangeStore, attempt, reduce_id: int) -> None:
+    folder = f"{attempt.path}/data/reduce_id={reduce_id}"
+    for name in store._files.list(folder):
+        store._files.replace(f"{folder}/{name}", "garbage")
+
+
+def store_dump_on_error(spark, d):
+    """A partition's file holds garbage: a reader that fails leaves that partition's files, as they are, beside the store."""
+    store = _store(spark)
+    attempt = store.put(_items(spark, d, "l_orderkey", "l_quantity").repartition(1), 1, ExchangeSpec(("l_orderkey",), N))
+    _damage(store, attempt, 4)
+    try:
+        store.read_with(1, lambda rows: rows.count())
+        failed = False
+    except CorruptExchange:
+        failed = True
+    dumps = store._files.list(f"{store.root}/{store.app_id}/dump")
+    rows = [(name, failed, store._files.summary(f"{store.root}/{store.app_id}/dump/{name}")[1]) for name in dumps]
+    return spark.createDataFrame(rows, "dump string, failed boolean, bytes long")
+
+
+def store_codecs(spark, d):
+    """The same rows by each codec of the data files."""
+    found = []
+    for codec in ("uncompressed", "snappy", "zstd", "gzip"):
+        store = _store(spark, compression=codec)
+        store.put(_items(spark, d, "l_orderkey", "l_quantity"), 1, ExchangeSpec(("l_orderkey",), N))
+        found.append(store.read(1).groupBy(F.lit(codec).alias("codec"), F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.sum("l_quantity").alias("sum_qty")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def store_backends(spark, d):
+    """The same rows through each backend of the store, in the layout map."""
+    found = []
+    for name in ("fs", "arrow"):
+        store = _store(spark, backend=name)
+        store.put(_items(spark, d, "l_orderkey", "l_quantity"), 1, ExchangeSpec(("l_orderkey",), N), layout="map")
+        found.append(store.read(1, 1, 4).groupBy(F.lit(name).alias("backend"), F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.sum("l_quantity").alias("sum_qty")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def store_second_session(spark, d):
+    """Another store on the same folder sees a commit that was made after it had read."""
+    one = _store(spark)
+    other = _store(spark, root=one.root, pointer_seconds=0.0)
+    items = _items(spark, d, "l_orderkey", "l_quantity")
+    one.put(items.where("l_quantity <= 10"), 1, ExchangeSpec(("l_orderkey",), N))
+    before = other.read(1).agg(F.lit("before").alias("step"), F.count(F.lit(1)).alias("n_rows"))
+    one.put(items.where("l_quantity > 10"), 1, ExchangeSpec(("l_orderkey",), N))
+    return before.unionByName(other.read(1).agg(F.lit("after").alias("step"), F.count(F.lit(1)).alias("n_rows")))
+
+
+def store_life(spark, d):
+    """Attempts and commits that a store counts as it is written to, dropped from and cleaned up, and what its listeners hear."""
+    heard: list[str] = []
+    store = _store(spark, clear_on_close=True, listeners=(Listener(lambda a: heard.append(f"start {a}"), lambda a: heard.append(f"end {a}")),))
+    items, spec = _items(spark, d, "l_orderkey"), ExchangeSpec(("l_orderkey",), N)
+    steps = []
+    say = lambda step: steps.append((step, store.counts()["committed"], store.counts()["temporary"], len(heard)))
+    attempt = store.write(items, 1, spec)
+    say("written")
+    store.commit(attempt)
+    store.put(items, 2, spec)
+    say("committed")
+    store.recall(store.write(items, 2, spec))
+    say("recalled")
+    store.drop(1)
+    say("dropped")
+    store.close()
+    say("closed")
+    return spark.createDataFrame(steps, "step string, committed long, temporary long, heard long")
+
+
+def stream_into_store(spark, d):
+    """A stream's batches as exchanges: all rows, by partition."""
+    store = _store(spark)
+    # a folder of its own: a stream reads folders
+    source = new_folder(spark, "stream")
+    _items(spark, d, "l_orderkey", "l_quantity").write.parquet(source)
+    stream = spark.readStream.schema("l_orderkey long, l_quantity double").parquet(source)
+    run = into_store(stream, store, ExchangeSpec(("l_orderkey",), N)).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    batches = [store.read(i) for i in range(store.counts()["committed"])]
+    return reduce(DataFrame.unionByName, batches).groupBy(F.col("reduce_id").cast("long").alias("reduce_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty"))
+
+
+def perf_report(spark, d):
+    """What the measuring command writes and reads, at a small size."""
+    args = ["-b", "1024", "-d", "64", "-m", "4", "-r", "5", "-o", "--scale", "1000", "--root", new_folder(spark, "perf")]
+    report = perf.execute(spark, perf.parse(args))
+    return spark.createDataFrame([(report["blocks_read"], report["bytes_written"], report["bytes_read"], report["partition_size"])], "blocks_read long, bytes_written string, bytes_read string, partition_size string")
+
+
+def exchange_metrics(spark, d):
+    """What Spark tells of an exchange: the records that are sent are those that are received, and all rows."""
+    items = _items(spark, d, "l_orderkey", "l_quantity")
+    with stage_metrics(spark) as m:
+        items.repartition(5, "l_orderkey").write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(m["shuffle_write_records"], m["shuffle_read_records"], m["shuffle_write_bytes"] > 0)], "written long, read long, bytes_counted boolean")
+
+
+def options_in_effect(spark, d):
+    """The options of the store and of exchanges, as a session has them that sets one of them."""
+    session = spark.newSession()
+    session.conf.set("shuffleframe.store.cacheSize", "3")
+    return session.createDataFrame([(k, None if (x := option(session, k)) is None else str(x).lower()) for k in OPTIONS if OPTIONS[k].ours], "key string, value string")
+
+
 def store_drop_map(spark, d):
     store = _store(spark)
     store.put(_items(spark, d, "l_orderkey", "l_linenumber"), 1, ExchangeSpec(("l_orderkey",), N), map_id=F.col("l_linenumber"))
@@ -250,12 +419,8 @@ def skew_report(spark, d):
 
 def strategy_choice(spark, d):
     """Which writer an exchange of as many partitions as each nation's key, times 100, would take, with and without map-side combine."""
-    choose = F.lit(None).cast("string")
-    limit = 200
-    bypass, serialized, base = (explain_strategy(n, c) for n, c in ((limit, False), (limit + 1, False), (limit, True)))
     nations = _read(spark, d, "nation").select((F.col("n_nationkey") * 100).cast("long").alias("num_partitions")).withColumn("combine", F.explode(F.array(F.lit(False), F.lit(True))))
-    choose = F.when(F.col("combine"), F.lit(base)).when(F.col("num_partitions") <= limit, F.lit(bypass)).otherwise(F.lit(serialized))
-    return nations.withColumn("strategy", choose)
+    return strategies(nations)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -268,6 +433,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         map_status, lengths_to_offsets, offsets_to_lengths, manifest_validate, index_file_roundtrip, partition_checksum,
         store_roundtrip, store_range_read, store_lengths, store_recommit, store_drop_map, store_dump_partition,
         batch_limit_read, spill_batch_offsets, skew_report, strategy_choice,
+        hash_order_sort, group_by_key_chunks, index_partitions, store_invalid_commit, store_skipped_partitions, store_read_around_damage,
+        store_dump_on_error, store_codecs, store_backends, store_second_session, store_life, stream_into_store,
+        perf_report, exchange_metrics, options_in_effect,
     )
 }
 
@@ -313,5 +481,20 @@ ORACLES: dict[str, str] = {
     "batch_limit_read": f"select o_orderkey, o_custkey, batch from ({_BATCHED}) where batch >= 1 and batch < 3",
     "spill_batch_offsets": f"select batch // 1024 run, batch, length, cast(sum(length) over (partition by batch // 1024 order by batch) - length as bigint) as \"start\", cast(sum(length) over (partition by batch // 1024 order by batch) as bigint) as \"end\" from (select batch, count(*) length from ({_BATCHED}) group by batch)",
     "skew_report": "select count(*) partitions, cast(sum(n) as bigint) total_rows, max(n) largest, round(avg(n), 6) mean, round(max(n) / avg(n), 6) skew from (select l_suppkey % 7, count(*) n from lineitem group by 1)",
+    "hash_order_sort": "select count(*) total_rows, cast(0 as bigint) out_of_order, count(distinct o_custkey) runs_of_keys from orders",
+    "group_by_key_chunks": "select cast(l_linenumber as bigint) l_linenumber, cast(ceil(count(*) / 100) as bigint) chunks, count(*) n_values, least(count(*), 100) largest, min(l_orderkey) low, max(l_orderkey) high from lineitem group by 1",
+    "index_partitions": f"select map_id, reduce_id, \"end\" - length as \"start\", length, upper(md5(repeat(reduce_id::varchar, cast(length as int)))) as md5, true as valid from ({_ENDS}) where reduce_id between 2 and 4",
+    "store_invalid_commit": "select l_orderkey % 7 reduce_id, count(*) n_rows, max(l_quantity) max_qty, false taken from lineitem where l_quantity <= 10 group by 1",
+    "store_skipped_partitions": "select cast(l_linenumber as bigint) map_id, l_orderkey % 7 reduce_id, count(*) told_rows, cast(0 as bigint) found_rows from lineitem where l_orderkey % 7 = 3 group by 1, 2",
+    "store_read_around_damage": "select l_orderkey % 7 reduce_id, count(*) n_rows, sum(l_quantity) sum_qty from lineitem where l_orderkey % 7 in (2, 3, 5) group by 1",
+    "store_dump_on_error": "select 'shuffle_1_4' dump, true failed, cast(7 as bigint) bytes",
+    "store_codecs": "select codec, l_orderkey % 7 reduce_id, sum(l_quantity) sum_qty from lineitem cross join (values ('uncompressed'), ('snappy'), ('zstd'), ('gzip')) t(codec) group by 1, 2",
+    "store_backends": "select backend, l_orderkey % 7 reduce_id, sum(l_quantity) sum_qty from lineitem cross join (values ('fs'), ('arrow')) t(backend) where l_orderkey % 7 between 1 and 3 group by 1, 2",
+    "store_second_session": "select case when l_quantity <= 10 then 'before' else 'after' end step, count(*) n_rows from lineitem group by 1",
+    "store_life": "select step, cast(committed as bigint) committed, cast(temporary as bigint) temporary, cast(heard as bigint) heard from (values ('written', 0, 1, 1), ('committed', 2, 0, 1), ('recalled', 2, 0, 1), ('dropped', 1, 0, 1), ('closed', 0, 0, 2)) t(step, committed, temporary, heard)",
+    "stream_into_store": "select l_orderkey % 7 reduce_id, count(*) n_rows, sum(l_quantity) sum_qty from lineitem group by 1",
+    "perf_report": "select cast(4 * 5 as bigint) blocks_read, '262.14K' bytes_written, '262.14K' bytes_read, '13.11K' partition_size",
+    "exchange_metrics": "select count(*) as written, count(*) as \"read\", true bytes_counted from lineitem",
+    "options_in_effect": "select * from (values ('shuffleframe.store.backend', 'fs'), ('shuffleframe.store.root', null), ('shuffleframe.store.clearOnClose', 'true'), ('shuffleframe.store.cacheSize', '3'), ('shuffleframe.store.pointerSeconds', '60.0'), ('shuffleframe.store.compression', null)) t(key, value)",
     "strategy_choice": "select cast(n_nationkey * 100 as bigint) num_partitions, c combine, case when c then 'base' when n_nationkey * 100 <= 200 then 'bypass' else 'serialized' end strategy from nation cross join (values (false), (true)) t(c)",
 }

@@ -1,4 +1,4 @@
-"""All options with their defaults."""
+"""All options with their defaults. ExchangeStore.configured() goes by the store's, Spark itself by the others."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ OPTIONS = {
         Option("shuffleframe.store.root", None, True),
         Option("shuffleframe.store.clearOnClose", True, True),
         Option("shuffleframe.store.cacheSize", 10, True),
+        Option("shuffleframe.store.pointerSeconds", 60.0, True),
+        Option("shuffleframe.store.compression", None, True),
         Option("spark.shuffle.spill.numElementsForceSpillThreshold", 2**31 - 1),
         Option("spark.shuffle.sort.useRadixSort", True),
         Option("spark.shuffle.spill.batchSize", 10_000),

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 MODES = ("mod", "murmur3", "range", "round_robin")
 #: The most partitions that Spark's serialized shuffle writer takes.
 MAX_SERIALIZED_PARTITIONS = 1 << 24
@@ -40,3 +44,13 @@ def explain_strategy(num_partitions: int, map_side_combine: bool, relocatable: b
     if relocatable and not aggregates and num_partitions <= MAX_SERIALIZED_PARTITIONS:
         return "serialized"
     return "base"
+
+
+def strategies(counts: DataFrame, num_partitions: str = "num_partitions", combine: str = "combine", name: str = "strategy") -> DataFrame:
+    """counts with explain_strategy() of the columns num_partitions and combine (boolean), evaluated by that function itself, a batch at a time."""
+
+    @F.pandas_udf("string")
+    def chosen(n: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([explain_strategy(int(x), bool(y)) for x, y in zip(n, c, strict=True)], dtype=object)
+
+    return counts.withColumn(name, chosen(num_partitions, combine))

@@ -7,14 +7,16 @@ Layout, in any file system that Spark writes to:
 That is the layout "reduce": rows are exchanged first, so a partition is one folder. The layout "map" writes without an
 exchange: each task's rows go to one file, sorted by reduce_id, and a range read skips row groups and pages by their
 smallest and largest reduce_id.
-Data come first, then the manifest (rows and a checksum of each map and reduce partition), and last the
-pointer CURRENT, a small file that names the attempt that counts: it is the only commit point. Readers go by
-the pointer, so an attempt that failed is never seen.
+Data come first, with a checksum column that is made in the same pass; then the manifest (rows and a checksum of each
+map and reduce partition), from the small columns only; and last the pointer CURRENT, a small file that names the attempt
+that counts: it is the only commit point. Readers go by the pointer, so an attempt that failed is never seen. The attempt
+that a commit replaces stays until the next commit, so that readers that hold it can end.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.partition import reduce_id, with_reduce_id
+from ..plans.options import option
 from ..plans.spec import ExchangeSpec
-from ..storage import Files, shared_root
-
+from ..storage import BACKENDS, shared_root
 
 #: Bytes of a row group in the layout map: what a range read can skip.
 ROW_GROUP = 16 << 20
+#: Columns that the store adds to the data; columns of that name in the rows to write are replaced, the last one is never given out.
+MAP_ID, REDUCE_ID, CHECK = "map_id", "reduce_id", "__check"
 
 
 class CorruptExchange(RuntimeError):
@@ -57,31 +61,42 @@ class Attempt:
     num_partitions: int
 
 
-def fs_backend(spark: SparkSession, root: str) -> Files:
-    return Files(spark, root)
-
-
-#: Backends by name: what gives the driver's view of a root folder.
-BACKENDS: dict[str, Callable[[SparkSession, str], Files]] = {"fs": fs_backend}
-
-
 def row_checksum(columns: list[str]) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
 
 
 class ExchangeStore:
-    def __init__(self, spark: SparkSession, root: str | None = None, app_id: str | None = None, backend: str = "fs", clear_on_close: bool = True, cache_size: int = 10, listeners: tuple[Listener, ...] = ()):
+    """See configured() for a store by the session's options. compression: a codec of Spark's Parquet writer (None: the session's). A pointer is remembered for pointer_seconds at most, of cache_size exchanges."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str | None = None,
+        app_id: str | None = None,
+        backend: str = "fs",
+        clear_on_close: bool = True,
+        cache_size: int = 10,
+        listeners: tuple[Listener, ...] = (),
+        compression: str | None = None,
+        pointer_seconds: float = 60.0,
+    ):
         if backend not in BACKENDS:
             raise ValueError(f"no backend {backend!r}; there are {sorted(BACKENDS)}")
         self.spark, self.app_id = spark, app_id or spark.sparkContext.applicationId
         self.root = (root or f"{shared_root(spark)}/exchanges").rstrip("/")
-        self.clear_on_close, self.listeners = clear_on_close, listeners
+        self.clear_on_close, self.listeners, self.compression = clear_on_close, listeners, compression
         self._files = BACKENDS[backend](spark, self.root)
-        self._pointers: OrderedDict[int, dict] = OrderedDict()
-        self._cache_size = cache_size
+        self._pointers: OrderedDict[int, tuple[float, dict]] = OrderedDict()
+        self._cache_size, self._pointer_seconds = cache_size, pointer_seconds
         for x in listeners:
             x.on_start(self.app_id)
 
+    @classmethod
+    def configured(cls, spark: SparkSession, **given) -> ExchangeStore:
+        """A store by the options shuffleframe.store.* of the session; what is given goes before."""
+        names = {"backend": "backend", "root": "root", "clear_on_close": "clearOnClose", "cache_size": "cacheSize", "compression": "compression", "pointer_seconds": "pointerSeconds"}
+        return cls(spark, **({k: option(spark, f"shuffleframe.store.{name}") for k, name in names.items()} | given))
+
     def __enter__(self) -> ExchangeStore:
         return self
 
@@ -98,14 +113,15 @@ class ExchangeStore:
         return f"{self.folder}/shuffle_id={shuffle_id}"
 
     def _pointer(self, shuffle_id: int) -> dict | None:
-        """What CURRENT says, remembered for the exchanges read last; None without a commit."""
-        known = self._pointers.get(shuffle_id)
-        if known is None:
+        """What CURRENT says, remembered for a while for the exchanges read last; None without a commit."""
+        since, known = self._pointers.get(shuffle_id, (0.0, None))
+        if known is None or time.monotonic() - since > self._pointer_seconds:
             text = self._files.read(f"{self._shuffle(shuffle_id)}/CURRENT")
+            self._pointers.pop(shuffle_id, None)
             if text is None:
                 return None
             known = json.loads(text)
-            self._pointers[shuffle_id] = known
+            self._pointers[shuffle_id] = (time.monotonic(), known)
             if len(self._pointers) > self._cache_size:
                 self._pointers.popitem(last=False)
         else:
@@ -127,7 +143,8 @@ class ExchangeStore:
             raise ValueError("layout is reduce, or map for an exchange by mod or murmur3")
         attempt = Attempt(shuffle_id, uuid.uuid4().hex, "", spec.num_partitions)
         attempt = Attempt(shuffle_id, attempt.uuid, f"{self._shuffle(shuffle_id)}/attempt={attempt.uuid}", spec.num_partitions)
-        marked = df.withColumn("map_id", (F.spark_partition_id() if map_id is None else map_id).cast("int"))
+        columns = [c for c in df.columns if c not in (MAP_ID, REDUCE_ID, CHECK)]
+        marked = df.withColumns({MAP_ID: (F.spark_partition_id() if map_id is None else map_id).cast("int"), CHECK: row_checksum(columns) if columns else F.lit(0).cast("long")})
         try:
             if spec.mode == "range":
                 dealt = with_reduce_id(marked, spec.keys, spec.num_partitions, "range")
@@ -139,35 +156,52 @@ class ExchangeStore:
                     dealt = dealt.repartitionById(spec.num_partitions, F.col("reduce_id"))
             if spec.order_by or layout == "map":
                 dealt = dealt.sortWithinPartitions("reduce_id", *spec.order_by)
+            writer = dealt.write.option("compression", self.compression) if self.compression else dealt.write
             if layout == "map":
-                dealt.write.option("parquet.block.size", ROW_GROUP).parquet(f"{attempt.path}/data")
+                writer.option("parquet.block.size", ROW_GROUP).parquet(f"{attempt.path}/data")
             else:
-                dealt.write.partitionBy("reduce_id").parquet(f"{attempt.path}/data")
-            self._lengths(self._data(attempt.path, dealt.schema)).coalesce(1).write.parquet(f"{attempt.path}/manifest")
+                writer.partitionBy(REDUCE_ID).parquet(f"{attempt.path}/data")
+            written = self.spark.read.schema(dealt.schema).parquet(f"{attempt.path}/data")
+            self._summed(written, F.col(CHECK)).coalesce(1).write.parquet(f"{attempt.path}/manifest")
             self._files.replace(f"{attempt.path}/SCHEMA", dealt.schema.json())
-            self._files.replace(f"{attempt.path}/FILES", json.dumps(self._files.sizes(f"{attempt.path}/data", ".parquet")))
+            self._files.replace(f"{attempt.path}/FILES", json.dumps(self._sizes(attempt.path)))
         except BaseException:
             self.recall(attempt)
             raise
         return attempt
 
-    def _data(self, path: str, schema=None) -> DataFrame:
-        if schema is None:
-            schema = StructType.fromJson(json.loads(self._files.read(f"{path}/SCHEMA")))
-        return self.spark.read.schema(schema).parquet(f"{path}/data")
+    def _data(self, path: str, broken: bool = False) -> DataFrame:
+        """The rows of an attempt; with broken, without those of files that are missing or can't be read."""
+        schema = StructType.fromJson(json.loads(self._files.read(f"{path}/SCHEMA")))
+        reader = self.spark.read.schema(schema)
+        if broken:
+            reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        return reader.parquet(f"{path}/data").drop(CHECK)
+
+    def _summed(self, data: DataFrame, check: Column) -> DataFrame:
+        return data.groupBy(MAP_ID, REDUCE_ID).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(check).alias("checksum"))
 
     def _lengths(self, data: DataFrame) -> DataFrame:
-        columns = [c for c in data.columns if c not in ("map_id", "reduce_id")]
-        check = row_checksum(columns) if columns else F.lit(0).cast("long")
-        return data.groupBy("map_id", "reduce_id").agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(check).alias("checksum"))
+        """Rows and checksums by map and reduce partition, from the rows themselves."""
+        columns = [c for c in data.columns if c not in (MAP_ID, REDUCE_ID)]
+        return self._summed(data, row_checksum(columns) if columns else F.lit(0).cast("long"))
+
+    def _sizes(self, path: str, start: int = 0, end: int = 1 << 31) -> dict[str, list[int]]:
+        """Files and bytes of the partitions start to end - 1, by folder; of all data in the layout map. One call a folder, none a file."""
+        folders = [x for x in self._files.list(f"{path}/data") if x.startswith(f"{REDUCE_ID}=")]
+        if not folders:
+            return {"": list(self._files.summary(f"{path}/data"))}
+        return {x: list(self._files.summary(f"{path}/data/{x}")) for x in folders if start <= int(x.partition("=")[2]) < end}
 
     def _complete(self, path: str, start: int = 0, end: int = 1 << 31) -> bool:
-        """Whether the files of the partitions start to end - 1 are there as they were written; looks at names and sizes only."""
-        told = self._files.read(f"{path}/FILES")
-        if told is None:
+        """Whether the files of the partitions start to end - 1 are there as they were written; looks at their number and bytes only."""
+        text = self._files.read(f"{path}/FILES")
+        if text is None:
             return False
-        of = lambda files: {k: n for k, n in files.items() if "/" not in k or start <= int(k.partition("/")[0].rpartition("=")[2]) < end}
-        return of(json.loads(told)) == of(self._files.sizes(f"{path}/data", ".parquet"))
+        told = json.loads(text)
+        if "" in told:
+            return told == self._sizes(path)
+        return {k: n for k, n in told.items() if start <= int(k.partition("=")[2]) < end} == self._sizes(path, start, end)
 
     def _agrees(self, path: str) -> bool:
         """Whether all rows are those that the manifest tells of; reads them."""
@@ -178,7 +212,8 @@ class ExchangeStore:
         return told.exceptAll(found).isEmpty() and found.exceptAll(told).isEmpty()
 
     def commit(self, attempt: Attempt) -> bool:
-        """Makes a valid attempt the one that counts and deletes the one before. An invalid attempt is deleted: where there is an older one that stays and the result is False, else CorruptExchange is raised."""
+        """Makes a valid attempt the one that counts; the one before stays for its readers until the next commit. An invalid attempt is deleted: where there is an older one that stays and the result is False, else CorruptExchange is raised."""
+        self.invalidate(attempt.shuffle_id)
         old = self._pointer(attempt.shuffle_id)
         if old and old["attempt"] == attempt.uuid:
             return True
@@ -187,11 +222,11 @@ class ExchangeStore:
             if old:
                 return False
             raise CorruptExchange(f"attempt {attempt.uuid} of exchange {attempt.shuffle_id} lacks files")
-        pointer = {"attempt": attempt.uuid, "num_partitions": attempt.num_partitions, "dropped_maps": []}
+        pointer = {"attempt": attempt.uuid, "num_partitions": attempt.num_partitions, "dropped_maps": [], "before": old["attempt"] if old else None}
         self._files.replace(f"{self._shuffle(attempt.shuffle_id)}/CURRENT", json.dumps(pointer))
         self.invalidate(attempt.shuffle_id)
-        if old:
-            self._files.delete(f"{self._shuffle(attempt.shuffle_id)}/attempt={old['attempt']}")
+        if old and old.get("before"):
+            self._files.delete(f"{self._shuffle(attempt.shuffle_id)}/attempt={old['before']}")
         return True
 
     def recall(self, attempt: Attempt) -> None:
@@ -210,9 +245,13 @@ class ExchangeStore:
 
     def _current(self, shuffle_id: int) -> tuple[str, dict]:
         pointer = self._pointer(shuffle_id)
+        path = lambda: f"{self._shuffle(shuffle_id)}/attempt={pointer['attempt']}"
+        if pointer is not None and not self._files.exists(path()):
+            self.invalidate(shuffle_id)  # another session has committed since
+            pointer = self._pointer(shuffle_id)
         if pointer is None:
             raise MissingExchange(shuffle_id)
-        return f"{self._shuffle(shuffle_id)}/attempt={pointer['attempt']}", pointer
+        return path(), pointer
 
     def read(self, shuffle_id: int, start: int = 0, end: int | None = None, map_ids: list[int] | None = None, strict: bool = True) -> DataFrame:
         """Rows of the partitions start to end - 1, with map_id and reduce_id; only these partitions' folders are read.
@@ -229,15 +268,23 @@ class ExchangeStore:
         if map_ids is not None:
             data = data.where(F.col("map_id").isin(map_ids))
         if not strict:
-            bad = self.skipped(shuffle_id)
-            data = data.join(F.broadcast(bad.select("reduce_id").distinct()), "reduce_id", "left_anti")
+            # a row a partition of the range at most
+            bad = [r.reduce_id for r in self.skipped(shuffle_id, start, end).select(REDUCE_ID).distinct().toLocalIterator()]
+            data = self._data(path, broken=True).where((F.col(REDUCE_ID) >= start) & (F.col(REDUCE_ID) < end) & ~F.col(REDUCE_ID).isin(bad)) if bad else data
+            for maps, wanted in ((pointer["dropped_maps"], False), (map_ids, True)):
+                if bad and maps is not None:
+                    data = data.where(F.col(MAP_ID).isin(maps) == wanted)
         return data
 
-    def skipped(self, shuffle_id: int) -> DataFrame:
-        """(map_id, reduce_id, told_rows, found_rows) where data and manifest disagree: what read(strict=False) leaves out."""
-        path, _ = self._current(shuffle_id)
-        told = self.manifest(shuffle_id).select("map_id", "reduce_id", F.col("n_rows").alias("told_rows"), F.col("checksum").alias("a"))
-        found = self._lengths(self._data(path)).select("map_id", "reduce_id", F.col("n_rows").alias("found_rows"), F.col("checksum").alias("b"))
+    def skipped(self, shuffle_id: int, start: int = 0, end: int = 1 << 31) -> DataFrame:
+        """(map_id, reduce_id, told_rows, found_rows) where data and manifest disagree in the partitions start to end - 1: what read(strict=False) leaves out. Reads these partitions' rows."""
+        path, pointer = self._current(shuffle_id)
+        inside = (F.col(REDUCE_ID) >= start) & (F.col(REDUCE_ID) < end)
+        told = self.manifest(shuffle_id).where(inside).select("map_id", "reduce_id", F.col("n_rows").alias("told_rows"), F.col("checksum").alias("a"))
+        data = self._data(path, broken=True).where(inside)
+        if pointer["dropped_maps"]:
+            data = data.where(~F.col(MAP_ID).isin(pointer["dropped_maps"]))
+        found = self._lengths(data).select("map_id", "reduce_id", F.col("n_rows").alias("found_rows"), F.col("checksum").alias("b"))
         return told.join(found, ["map_id", "reduce_id"], "full").where(~F.col("a").eqNullSafe(F.col("b")) | ~F.col("told_rows").eqNullSafe(F.col("found_rows"))).drop("a", "b")
 
     def manifest(self, shuffle_id: int) -> DataFrame:
@@ -274,6 +321,28 @@ class ExchangeStore:
         self._data(path).where(F.col("reduce_id") == reduce_id).write.mode("overwrite").parquet(target)
         return target
 
+    def dump_bytes(self, shuffle_id: int, reduce_id: int, target: str | None = None) -> str:
+        """Copies a partition's files byte by byte, also such as can't be read, over an older dump; returns the folder. In the layout map, where partitions share files, all files are copied."""
+        path, _ = self._current(shuffle_id)
+        target = target or f"{self.root}/{self.app_id}/dump/shuffle_{shuffle_id}_{reduce_id}"
+        own = f"{path}/data/{REDUCE_ID}={reduce_id}"
+        source = own if self._files.exists(own) else f"{path}/data"
+        if self._files.list(source):
+            self._files.copy(source, target)
+        return target
+
+    def read_with(self, shuffle_id: int, action: Callable[[DataFrame], object], start: int = 0, end: int | None = None):
+        """action(rows of the partitions start to end - 1), strictly read. Where that fails, partitions of the range whose data and manifest disagree are dumped as they lie, and the error is raised again, with a note that names the dumps."""
+        try:
+            return action(self.read(shuffle_id, start, end))
+        except MissingExchange:
+            raise
+        except Exception as error:
+            last = self._current(shuffle_id)[1]["num_partitions"] if end is None else end
+            for r in self.skipped(shuffle_id, start, last).select(REDUCE_ID).distinct().orderBy(REDUCE_ID).toLocalIterator():
+                error.add_note(f"dumped partition {r.reduce_id} to {self.dump_bytes(shuffle_id, r.reduce_id)}")
+            raise
+
     # deleting
 
     def drop(self, shuffle_id: int) -> None:
@@ -289,14 +358,14 @@ class ExchangeStore:
             self.invalidate(shuffle_id)
 
     def counts(self) -> dict[str, int]:
-        """committed: exchanges with a commit; temporary: attempts that don't count."""
+        """committed: exchanges with a commit; temporary: attempts that don't count, but those that a commit has replaced and that wait for their readers."""
         out = {"committed": 0, "temporary": 0}
         for name in self._files.list(self.folder):
             shuffle_id = int(name.partition("=")[2])
             pointer = self._pointer(shuffle_id)
             attempts = [x for x in self._files.list(self._shuffle(shuffle_id)) if x.startswith("attempt=")]
             out["committed"] += pointer is not None
-            out["temporary"] += sum(not pointer or x != f"attempt={pointer['attempt']}" for x in attempts)
+            out["temporary"] += sum(not pointer or x.partition("=")[2] not in (pointer["attempt"], pointer.get("before")) for x in attempts)
         return out
 
     def cleanup(self) -> None:

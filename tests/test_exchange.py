@@ -149,8 +149,37 @@ def test_index_codec(lengths):
     assert manifest.check_index(data, sum(lengths) + 1) is None and manifest.check_index(None, 0) is None
 
 
-def test_size_strings():
-    assert [manifest.size_string(x) for x in (987, 512 << 10, 1.01 * (1 << 20), 1.24 * (1 << 30), 5.68 * (1 << 40))] == ["987.0", "512.00K", "1.01M", "1.24G", "5.68T"]
+@pytest.mark.parametrize(
+    "scale,n,said",
+    [(1024, 0, "0.0"), (1024, 1023.96, "1024.0"), (1024, 1024, "1024.0"), (1024, 1025, "1.00K"), (1024, 3 << 19, "1.50M"), (1000, 1000, "1000.0"), (1000, 1024, "1.02K"), (1000, 3 << 19, "1.57M"), (1000, 7.25e15, "7250.00T"), (1024, 1 << 50, "1024.00T")],
+)
+def test_size_strings(scale, n, said):
+    assert manifest.size_string(n, scale) == said
+    with pytest.raises(ValueError):
+        manifest.size_string(n, 1 + scale)
+
+
+def test_hot_keys_in_chunks(spark):
+    df = pairs(spark, [(1, i) for i in range(1003)] + [(None, i) for i in range(7)] + [(2, 5), (2, None), (3, None)]).repartition(5)
+    got = aggregate.group_by_key_in_chunks(df, ["k"], "v", 10).collect()
+    assert sorted(x for r in got if r.k == 1 for x in r.v) == list(range(1003)) and max(len(r.v) for r in got) == 10
+    assert sorted(r.chunk for r in got if r.k == 1) == list(range(101)) and {r.k for r in got} == {1, 2, None}
+    assert [r.v for r in got if r.k is None] == [list(range(7))] and all(r.v == sorted(r.v) for r in got)
+    assert aggregate.group_by_key_in_chunks(df.limit(0), ["k"], "v", 10).collect() == []
+    with pytest.raises(ValueError, match="one has 1003"):
+        aggregate.group_by_key(df, ["k"], "v", limit=1000)
+    assert aggregate.group_by_key(df, ["k"], "v", limit=1003).count() == 4
+
+
+def test_one_exchange_each(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = pairs(spark, SMALL)
+    assert plan(sorting.aggregate_sort(df, ["k"], {"v": F.sum("v")}, 7)).count("Exchange") == 1
+    early = plan(partition.exchange(df, ExchangeSpec(("k",), 7), 2, 5))
+    assert early.count("Exchange") == 1 and early.index("Exchange") < early.index("Filter")
+    assert {r.k for r in partition.exchange(df, ExchangeSpec(("k",), 7), 2, 5).collect()} == {2}
+    with pytest.raises(ValueError):
+        partition.exchange(df, ExchangeSpec(("k",), 7, "range"), 2, 5)
 
 
 def test_strategies():

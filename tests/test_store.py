@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shuffleframe import perf
+from shuffleframe import perf, storage
 from shuffleframe.functions.manifest import encode_index
 from shuffleframe.metrics import stage_metrics
 from shuffleframe.plans.spec import ExchangeSpec
@@ -131,6 +131,98 @@ def test_map_layout(spark, store):
         store.write(df, 4, ExchangeSpec(("k",), 3, "range"), layout="map")
 
 
+@pytest.mark.parametrize("backend", ["fs", "arrow"])
+@pytest.mark.parametrize("codec", [None, "zstd"])
+def test_backends_and_codecs(spark, tmp_path, backend, codec):
+    with ExchangeStore(spark, f"file://{tmp_path}", "app", backend, compression=codec) as s:
+        attempt = s.put(rows(spark, [3, 0, 4]), 1, SPEC)
+        assert lengths(s) == [3, 0, 4] and s.read(1).columns == ["k", "v", "map_id", "reduce_id"]
+        assert codec is None or glob.glob(f"{tmp_path}/app/**/*.{codec}.parquet", recursive=True)
+        files = s._files
+        files.replace(f"{s.root}/a/b", "0123456789")
+        assert (files.read_range(f"{s.root}/a/b", 3, 4), files.read_range(f"{s.root}/a/b", 8, 9), files.read_range(f"{s.root}/a/b", 99)) == (b"3456", b"89", b"")
+        assert files.summary(f"{s.root}/a") == (1, 10) and files.summary(f"{s.root}/none") == (0, 0) and files.read(f"{s.root}/none") is None
+        files.copy(f"{s.root}/a", f"{s.root}/c")
+        assert files.list(f"{s.root}/c") == ["b"]
+        with pytest.raises(FileNotFoundError):
+            files.read_range(f"{s.root}/none")
+        path = glob.glob(f"{attempt.path.removeprefix('file://')}/data/reduce_id=2/*.parquet")[0]
+        with open(path, "wb") as f:
+            f.write(b"garbage")
+        with pytest.raises(CorruptExchange) as caught:
+            s.read_with(1, lambda df: df.count(), 1)
+        dumped = f"{s.root}/app/dump/shuffle_1_2"
+        assert caught.value.__notes__ == [f"dumped partition 2 to {dumped}"] and files.summary(dumped) == (1, 7)
+        assert s.read_with(1, lambda df: df.count(), 0, 2) == 3
+        with pytest.raises(ZeroDivisionError) as caught:
+            s.read_with(1, lambda df: 1 // 0, 0, 2)
+        assert not getattr(caught.value, "__notes__", [])
+
+
+def test_own_backend(spark, tmp_path):
+    made = []
+
+    class Counting(storage.Files):
+        def __init__(self, spark, root):
+            super().__init__(spark, root)
+            made.append(root)
+
+    storage.register_backend("counting", Counting)
+    try:
+        with pytest.raises(ValueError):
+            storage.register_backend("counting", Counting)
+        spark.conf.set("shuffleframe.store.backend", "counting")
+        spark.conf.set("shuffleframe.store.root", f"file://{tmp_path}")
+        spark.conf.set("shuffleframe.store.compression", "gzip")
+        with ExchangeStore.configured(spark, app_id="own") as s:
+            s.put(rows(spark, [1, 2]), 1, SPEC)
+            assert lengths(s) == [1, 2, 0] and made == [f"file://{tmp_path}"] and s.compression == "gzip" and s.clear_on_close
+    finally:
+        for k in ("backend", "root", "compression"):
+            spark.conf.unset(f"shuffleframe.store.{k}")
+        del storage.BACKENDS["counting"]
+
+
+def test_readers_see_commits_of_others(spark, tmp_path):
+    one, two = (ExchangeStore(spark, f"file://{tmp_path}", "app", clear_on_close=False) for _ in range(2))
+    one.put(rows(spark, [1]), 1, SPEC)
+    held = two.read(1)
+    one.put(rows(spark, [2]), 1, SPEC)
+    assert held.count() == 1 and two.read(1).count() == 1  # what was read stays for a while
+    one.put(rows(spark, [3]), 1, SPEC)
+    assert two.read(1).count() == 3
+    assert two.counts() == {"committed": 1, "temporary": 0}
+
+
+def test_damage_outside_the_range(spark, store):
+    attempt = store.put(rows(spark, [5, 5, 5]), 1, SPEC)
+    for path in glob.glob(f"{attempt.path.removeprefix('file://')}/data/reduce_id=1/*.parquet"):
+        os.remove(path)
+    assert store.skipped(1, 0, 1).count() == 0 and store.skipped(1).count() > 0
+    assert store.read(1, 0, 1, strict=False).count() == store.read(1, 2, 3).count() == 5
+    assert store.read(1, strict=False).count() == 10
+
+
+def test_written_maps(spark, tmp_path):
+    made = spark.createDataFrame([(m, r, bytes([65 + r]) * (m * r)) for m in range(4) for r in (0, 2, 3)], "map_id int, reduce_id int, content binary")
+    for _ in range(2):
+        assert sorted(map(tuple, indexed.write_maps(made, f"file://{tmp_path}", 5, 4).collect())) == [(m, 5 * m) for m in range(4)]
+    got = {(r.map_id, r.reduce_id): (bytes(r.content), r.valid) for r in indexed.read_partitions(spark, f"file://{tmp_path}").collect()}
+    assert got == {(m, r): (bytes([65 + r]) * (m * r), True) for m in range(1, 4) for r in (2, 3)}
+
+
+def test_unset_shared_folder(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_root(Cluster)
+
+
 def test_failing_input_leaves_nothing(spark, store):
     bad = spark.range(1200).selectExpr("cast(id as int) k", "if(id = 1199, raise_error('broken row'), id) v")
     with pytest.raises(Exception, match="broken row"):
