@@ -34,6 +34,7 @@ class PerfOptions:
     backend: str = "fs"
     root: str | None = None
     scale: int = 1024
+    compression: str = "uncompressed"
 
     @property
     def total_bytes(self) -> int:
@@ -53,19 +54,23 @@ def parse(args: list[str]) -> PerfOptions:
     p.add_argument("-o", "--overwrite", action="store_true")
     p.add_argument("-ro", "--ro", "--readOnly", dest="read_only", action="store_true")
     p.add_argument("--root", default=None)
+    p.add_argument("--compression", default=d.compression, help="codec of the data files; the data are random bytes")
     p.add_argument("--scale", type=int, default=d.scale, choices=(1000, 1024), help="of the units in the report")
     return PerfOptions(**vars(p.parse_args(args)))
 
 
 def _rows(o: PerfOptions):
     per_block = o.blocks * o.block_size // o.reducers
+    step = max(1, min(o.reducers, (1 << 20) // max(per_block, 1)))  # blocks of a batch
 
     def run(batches):
         for rows in batches:
             for m in rows.column(0).to_pylist():
                 rng = np.random.default_rng([o.shuffle_id, m])
-                for r in range(o.reducers):
-                    yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([r], pa.int32()), pa.array([rng.bytes(per_block)], pa.binary())], names=["mapper", "r", "data"])
+                for r in range(0, o.reducers, step):
+                    n = min(step, o.reducers - r)
+                    data = pa.array([rng.bytes(per_block) for _ in range(n)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.int32()), pa.array(range(r, r + n), pa.int32()), data], names=["mapper", "r", "data"])
 
     return run
 
@@ -88,7 +93,7 @@ def read_phase(store: ExchangeStore, o: PerfOptions) -> tuple[float, int, int]:
 
 
 def execute(spark: SparkSession, o: PerfOptions) -> dict:
-    store = ExchangeStore(spark, o.root, APP, o.backend, clear_on_close=False)
+    store = ExchangeStore(spark, o.root, APP, o.backend, clear_on_close=False, compression=o.compression)
     report: dict = {"options": asdict(o)}
     size = lambda n: size_string(n, o.scale)
     if not o.read_only:
