@@ -3,30 +3,46 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, one in the temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='shuffleframe-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    _made.append(path := f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    """A new folder below spark.checkpoint.dir (see shared_root for where that is unset)."""
+    _made.append(path := f"{shared_root(spark)}/llm-{uuid.uuid4().hex}")
     return path
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+#: The one column that operators carry a caller's columns in, so that no name of theirs can clash with an operator's own.
+KEPT = "kept"
+
+
+def packed(columns: list[str]) -> Column:
+    """A struct of these columns, to be carried as KEPT."""
+    return F.struct(*[named(c).alias(str(i)) for i, c in enumerate(columns)] or [F.lit(None).cast("int").alias("none")]).alias(KEPT)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns packed into KEPT, under their names."""
+    return [F.col(KEPT).getField(str(i)).alias(c) for i, c in enumerate(columns)]
+
+
 #: Folders that this process has named in the shared folder.
 _made: list[str] = []
 

@@ -8,9 +8,11 @@ all unseen words counting as one, and 1 in a class of one token. The likelihood
 recursion runs over the whole text.
 
 Word counts cover all training tokens. They are joined with the texts' words by a shuffle, but for the most
-frequent words, a table of bounded size that is broadcast. Baum-Welch starts from a fit to a bounded sample
-and then makes full rounds: each task runs forward-backward over segments of its texts, the expected counts
-are added up across partitions, and the driver gets states * classes numbers.
+frequent words, a table of bounded size that is broadcast. Baum-Welch runs over all training texts, dealt by
+a hash to a fixed number of parts, as incremental EM (Neal and Hinton 1998): a step runs forward-backward over
+the segments of one part's texts, adds the expected counts up across partitions, puts them in the place of
+those that this part gave before, and makes the model of the sum over all parts. So the model learns with every
+part, each round sees every text once, and the driver holds parts * states * classes numbers.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
-from .common import arrow_map, materialise, word_blocks
+from .common import KEPT, arrow_map, materialise, named, packed, shared_dir, unpacked, word_blocks
 
 STATES = 8
 #: Classes of one token (the end is 0), shared classes, words in the broadcast table, and the bytes of a word in it at most.
 OWN, SHARED, FREQUENT, LONGEST = 3072, 1024, 65_536, 64
-#: Tokens of the sample for the start and rounds over it; rounds over all training texts; tokens of a segment in training.
-SAMPLE, START_ROUNDS, ROUNDS, SEGMENT = 300_000, 25, 3, 512
+#: Parts of the training texts; rounds over all of them; tokens of a segment in training.
+PARTS, ROUNDS, SEGMENT = 8, 4, 512
 #: Tokens of the class distribution that each state's counts are mixed with.
 SMOOTHING = 500.0
 #: Distinct words that a task counts before it sends them on; cells of a padded block of sequences.
@@ -119,8 +121,8 @@ def vocabulary(counts: DataFrame, own: int = OWN, shared: int = SHARED, frequent
 
 
 def read_documents(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, keep: list[str]) -> DataFrame:
-    """One row per row of docs: row, id, keep, n_tokens, n_known, base, inner (both without log10(c + 0.5) of the words listed), words and times (those not in the table and how often), classes (uint16 of each token)."""
-    frame = docs.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__source_text"))
+    """One row per row of docs: row, id, kept (a struct of keep), n_tokens, n_known, base, inner (both without log10(c + 0.5) of the words listed), words and times (those not in the table and how often), classes (uint16 of each token)."""
+    frame = docs.select(named(id_col).alias("id"), packed(keep), named(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,24 +280,15 @@ def initial(share: np.ndarray, k: int) -> Model:
     return Model(flat, flat, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(texts: DataFrame, share: np.ndarray, n_tokens: int, k: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of texts (classes binary), materialised."""
+def train(texts: DataFrame, share: np.ndarray, k: int = STATES, rounds: int = ROUNDS, parts: int = PARTS) -> Model:
+    """Baum-Welch over all rows of texts (id, classes binary), in so many rounds and parts. The part of a text is a hash of both columns, so copies are spread. Without rows the model is the initial one."""
     model = initial(share, k)
     spark = texts.sparkSession
-    part = min(1.0, SAMPLE / max(n_tokens, 1))
-    drawn = texts.where(F.shiftrightunsigned(F.xxhash64("classes"), 11) / float(1 << 53) < part).select("classes")
-    sample: list[bytes] = []
-    left = 2 * SAMPLE  # tokens; a bound for the driver
-    for r in drawn.toLocalIterator():
-        sample.append(bytes(r.classes[: 2 * left]))
-        left -= len(r.classes) // 2
-        if left <= 0:
-            break
-    if sample:
-        sequences, first = segments(sorted(sample))
-        for _ in range(START_ROUNDS):
-            model = maximised(expected_counts(model, sequences, first), k, share)
-    for _ in range(rounds):
+    path = shared_dir(spark)
+    texts.select("classes", F.pmod(F.xxhash64("id", "classes"), F.lit(parts)).cast("int").alias("part")).write.partitionBy("part").parquet(path)
+    dealt = spark.read.schema("classes binary, part int").parquet(path)
+    held: dict[int, np.ndarray] = {}
+    for step in range(rounds * parts):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -308,26 +301,31 @@ def train(texts: DataFrame, share: np.ndarray, n_tokens: int, k: int = STATES, r
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
-        got = arrow_map(texts.select("classes"), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        if not len(got):
-            break
-        counts = np.zeros(len(got))
-        counts[got.i.to_numpy()] = got.v.to_numpy()
-        model = maximised(counts, k, share)
+        got = arrow_map(dealt.where(F.col("part") == step % parts).select("classes"), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        shared.destroy()
+        if len(got):
+            counts = np.zeros(len(got))
+            counts[got.i.to_numpy()] = got.v.to_numpy()
+            held[step % parts] = counts
+            model = maximised(np.sum(list(held.values()), axis=0), k, share)
     return model
 
 
+RESULTS = ("id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: str | None = None, keep: list[str] | None = None, states: int = STATES, rounds: int = ROUNDS, own: int = OWN, shared: int = SHARED, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: (id, keep, n_tokens, n_known, train_tokens, base_score, score).
 
-    Learns from the rows where the boolean column held_out is false or null (None: from all). n_known: tokens that training texts have; train_tokens: all of theirs; base_score: the sum of log10 of the tokens' smoothed frequencies; score: log10 of the model's probability of the whole text. Null and empty texts are one end. Repeated rows are scored alike; null ids are scored; without training texts all counts are zero and the model is uniform over them. No rows give no rows.
+    Learns from the rows where the boolean column held_out is false or null (None: from all). n_known: tokens that training texts have; train_tokens: all of theirs; base_score: the sum of log10 of the tokens' smoothed frequencies; score: log10 of the model's probability of the whole text. Null and empty texts are one end. Very long texts are scored whole. Repeated rows are scored alike; null ids are scored; without training texts all counts are zero and the model is uniform over them. No rows give no rows. Columns of keep that have the name of a result are left out; other names don't matter.
     """
-    keep = list(keep or [])
-    learned = F.lit(True) if held_out is None else ~F.coalesce(F.col(f"`{held_out}`"), F.lit(False))
-    counts = materialise(count_tokens(docs.where(learned).select(F.col(f"`{text}`").alias("text"))))
+    keep = [c for c in keep or [] if c not in RESULTS]
+    learned = F.lit(True) if held_out is None else ~F.coalesce(named(held_out), F.lit(False))
+    counts = materialise(count_tokens(docs.where(learned).select(named(text).alias("text"))))
     vocab = vocabulary(counts, own, shared, frequent)
-    rows = materialise(read_documents(docs.withColumn("__learn", learned), vocab, id_col, text, [*keep, "__learn"]))
-    model = train(rows.where("__learn"), vocab.class_share, vocab.n, states, rounds)
+    kept = docs.select(named(id_col).alias("id"), packed(keep).alias("own"), learned.alias("learn"), named(text).alias("text"))
+    rows = materialise(read_documents(kept, vocab, "id", "text", ["own", "learn"]).withColumn("learn", unpacked(["own", "learn"])[1]).withColumn(KEPT, unpacked(["own"])[0]))
+    model = train(rows.where("learn"), vocab.class_share, states, rounds)
 
     # the words that aren't in the table, with their counts
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
@@ -335,7 +333,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     by_row = looked_up.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("known"))
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    plain = rows.select("id", *keep, "row", "n_tokens", "n_known", "base", "inner", "classes")
+    plain = rows.select("id", KEPT, "row", "n_tokens", "n_known", "base", "inner", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
@@ -348,5 +346,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     scored = arrow_map(plain, run, StructType(plain.schema.fields[:-1]).add("path", DoubleType()))
     log, known = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return scored.join(by_row, "row", "left").select(
-        "id", *keep, "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("path") + F.col("inner") + log).alias("score")
+        "id", *unpacked(keep), "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("path") + F.col("inner") + log).alias("score")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from .common import arrow_map, materialise
+from .common import KEPT, arrow_map, materialise, named, packed, unpacked
 
 #: Hashed n-grams.
 FEATURES = 8192
@@ -193,7 +193,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learns from the rows whose lang is not null. Without rows to learn from, the model finds every text undetermined and rejects it."""
-    known = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    known = docs.where(named(lang).isNotNull()).select(named(text).alias("text"), named(lang).alias("lang"))
     n, df = document_frequencies(known, "text")
     idf = np.log((1 + n) / (1 + df)) + 1
 
@@ -236,12 +236,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the columns lang_pred (und if text is null or has no letter), score (cosine to the nearest centroid, 0 to 1) and rejected, whose names get the prefix; columns of docs that are named so are replaced.
+    """docs with the columns lang_pred (und if text is null or has no letter), score (cosine to the nearest centroid, 0 to 1) and rejected, whose names get the prefix; columns of docs that are named so are replaced, other names don't matter.
 
     Reads the text only. Ties go to the language that is first by name. Repeated rows are predicted alike, no rows give no rows. The model, of bounded size, is broadcast; there is no shuffle.
     """
     new = [prefix + c for c in ("lang_pred", "score", "rejected")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], F.col(f"`{text}`").alias("__source_text"))
+    kept = [c for c in docs.columns if c not in new]
+    frame = docs.select(packed(kept), named(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
             for at in range(0, rows.num_rows, 256):
                 some = rows.slice(at, 256)
                 lang, score, rejected = shared.value.predict(some.column(some.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*some.schema.names[:-1], *new])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[KEPT, "lang", "score", "rejected"])
 
-    schema = StructType(frame.schema.fields[:-1]).add(new[0], StringType()).add(new[1], DoubleType()).add(new[2], BooleanType())
-    return arrow_map(frame, run, schema)
+    schema = StructType([frame.schema[KEPT]]).add("lang", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
+    return arrow_map(frame, run, schema).select(*unpacked(kept), *[F.col(c).alias(name) for c, name in zip(("lang", "score", "rejected"), new, strict=True)])

@@ -6,6 +6,7 @@ texts U:  R(f) = pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)]),  l(z) = log(
 Every text to learn from is in U. Each round sums the risk, gradient and curvature over all partitions and
 takes a damped Newton step; where the part under max() is negative, the round takes the non-negative
 correction instead and steps so that it grows. The features are computed once and kept in the shared folder.
+The prior is estimated from P and U alone (see mixture_prior); no negative label is used.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructType
 
-from .common import _BLANK, arrow_map, materialise
+from .common import _BLANK, KEPT, arrow_map, materialise, named, packed, unpacked
 
 #: Symbols whose part of the text is a feature each.
 SYMBOLS = b"!?.,;:|$%&#*@/\\<>{}[]()_=+-~^`'\""
+#: Bytes of a text that are looked at a time.
 PIECE = 1 << 20
 ROUNDS, RIDGE = 14, 1e-3
 #: Newton steps are cut to this length in the standardised space.
@@ -38,14 +40,17 @@ _SYMBOL[list(SYMBOLS)] = True
 
 
 def features(text: str | None) -> np.ndarray:
-    """The features of a whole text, each between 0 and about 4; zeros for null and for the empty text."""
+    """The features of a whole text, each between 0 and about 4; zeros for null and for the empty text. It is looked at in pieces, which change no feature; its different words and lines are held."""
     data = (text or "").encode("utf-8", "surrogatepass")
     out = np.zeros(DIM)
     if not data:
         return out
     hist = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    n_words = distinct = repeated = uppers = marked = long = letters = lines = same = 0
+    n_words = repeated = uppers = marked = long = letters = lines = 0
+    distinct: set[bytes] = set()
+    kinds: set[bytes] = set()  # of lines
     before = b""
+    begun: list[bytes] = []  # of a line that goes on
     at = 0
     while at < len(data):
         to = len(data)
@@ -53,23 +58,32 @@ def features(text: str | None) -> np.ndarray:
             to = cut.start()
         part = data[at:to]
         at = to
+        own = part.split(b"\n")
+        begun.append(own[0])
+        if len(own) > 1:
+            own[0] = b"".join(begun)
+            begun = [own.pop()]
+            own = [x for x in own if x.strip()]
+            lines += len(own)
+            kinds.update(own)
         words = part.split()
         if not words:
             continue
         n_words += len(words)
-        distinct += len(set(words))
+        distinct.update(words)
         repeated += sum(map(bytes.__eq__, words, [before, *words[:-1]]))
         before = words[-1]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         letters += int(lengths.sum())
         long += int((lengths > 20).sum())
         uppers += sum(map(bytes.isupper, words))
-        joined = np.frombuffer(part, np.uint8)
-        ends = _SYMBOL[joined[:-1]] & _SYMBOL[joined[1:]] if len(joined) > 1 else np.zeros(0, bool)
-        marked += int(ends.sum())
-        own = [x for x in part.split(b"\n") if x.strip()]
-        lines += len(own)
-        same += len(own) - len(set(own))
+        joined = np.frombuffer(part, np.uint8)  # pieces end before a blank, so no two symbols in a row are parted
+        marked += int((_SYMBOL[joined[:-1]] & _SYMBOL[joined[1:]]).sum())
+    last = b"".join(begun)
+    if last.strip():
+        lines += 1
+        kinds.add(last)
+    same = lines - len(kinds)
     total = max(len(data), 1)
     w = max(n_words, 1)
     ascii_letters = int(hist[_UPPER].sum() + hist[_LOWER].sum())
@@ -77,7 +91,7 @@ def features(text: str | None) -> np.ndarray:
         math.log1p(total) / 5,
         math.log1p(n_words) / 4,
         min(letters / w / 10, 4.0),
-        distinct / w,
+        len(distinct) / w,
         math.sqrt(repeated / w),
         min(math.log1p(lines) / 3, 4.0),
         math.sqrt(same / max(lines, 1)),
@@ -114,15 +128,15 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
 
 
 def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep and x, the features of the text as doubles in bytes. Neither a shuffle nor memory beyond one text."""
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__source_text"))
+    """(kept, x): the columns keep as one struct, and the features of the text as doubles in bytes. Neither a shuffle nor memory beyond one text."""
+    frame = docs.select(packed(keep), named(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            x = pa.array([features(v.as_py()).tobytes() for v in rows.column(rows.num_columns - 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], x], names=[*rows.schema.names[:-1], "x"])
+            x = pa.array([features(v.as_py()).tobytes() for v in rows.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), x], names=[KEPT, "x"])
 
-    return arrow_map(frame, run, StructType(frame.schema.fields[:-1]).add("x", BinaryType()))
+    return arrow_map(frame, run, StructType([frame.schema[KEPT]]).add("x", BinaryType()))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -148,17 +162,19 @@ def summed(frame: DataFrame, f) -> np.ndarray:
     return out
 
 
-def fit(frame: DataFrame, prior: float) -> Model:
-    """frame: (x, positive), all texts to learn from, positive where one is a trusted positive. Without positives or rows every score is one half."""
+def fit(frame: DataFrame, prior: float | None = None) -> Model:
+    """frame: (x, positive), all texts to learn from, positive where one is a trusted positive; prior None: mixture_prior(). Without positives or rows every score is one half."""
 
     def moments(x, positive):
         return np.concatenate([[len(x), positive.sum()], x.sum(axis=0), (x * x).sum(axis=0)])
 
     m = summed(frame, moments)
     if not len(m) or not m[1]:
-        return Model(np.zeros(DIM), np.ones(DIM), np.zeros(DIM + 1), prior)
+        return Model(np.zeros(DIM), np.ones(DIM), np.zeros(DIM + 1), 0.5 if prior is None else prior)
     mean = m[2 : 2 + DIM] / m[0]
     scale = np.sqrt(np.maximum(m[2 + DIM :] / m[0] - mean**2, 0)) + 0.02
+    if prior is None:
+        prior = mixture_prior(frame, mean, scale)
     d = DIM + 1
     w = np.zeros(d)
     w[0] = math.log(prior / (1 - prior))
@@ -189,39 +205,80 @@ def fit(frame: DataFrame, prior: float) -> Model:
 
 
 def estimate_prior(positives: int, labelled: int) -> float:
-    """The class prior from the part of positives among rows labelled by chance, kept from 0 and 1."""
+    """The class prior from the part of positives among rows labelled by chance, kept from 0 and 1; for callers that have such labels."""
     return min(max((positives + 1) / (labelled + 2), 0.02), 0.98)
 
 
+#: Rounds of the fit of trusted positives against all texts, bins of its scores, and the chance that the bound of a bin's part doesn't hold.
+SPLIT_ROUNDS, SCORE_BINS, DOUBT = 8, 1000, 0.1
+
+
+def mixture_prior(frame: DataFrame, mean: np.ndarray, scale: np.ndarray) -> float:
+    """The class prior from trusted positives and unlabelled texts alone: the best bin of a score (Garg et al. 2021).
+
+    Among the texts that score highest by a fit of positives against all texts hardly one is negative, so the part of all texts that is there, over the part of the positives that is, estimates the prior. The cut is where the upper bound of that ratio is smallest. Kept from 0 and 1.
+    """
+    d = DIM + 1
+    w = np.zeros(d)
+    n, p = 0.0, 0.0
+    for _ in range(SPLIT_ROUNDS):
+
+        def terms(x, positive, w=w):
+            z = design(x, mean, scale)
+            s = _sigmoid(z @ w)
+            bent = s * (1 - s)
+            zp, sp, bp = z[positive], s[positive], bent[positive]
+            return np.concatenate([[len(z), len(zp)], s @ z, (1 - sp) @ zp, ((z * bent[:, None]).T @ z).ravel(), ((zp * bp[:, None]).T @ zp).ravel()])
+
+        t = summed(frame, terms)
+        n, p = t[0], t[1]
+        curves = t[2 + 2 * d :].reshape(2, d, d)
+        step = -np.linalg.solve(curves[0] / n + curves[1] / p + RIDGE * np.eye(d), t[2 : 2 + d] / n - t[2 + d : 2 + 2 * d] / p + RIDGE * w)
+        size = float(np.linalg.norm(step))
+        w = w + step * min(1.0, STEP / max(size, 1e-12))
+        if size < 1e-2:
+            break
+
+    def bins(x, positive):
+        at = np.minimum((_sigmoid(design(x, mean, scale) @ w) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
+        return np.concatenate([np.bincount(at, minlength=SCORE_BINS), np.bincount(at[positive], minlength=SCORE_BINS)]).astype(np.float64)
+
+    seen = summed(frame, bins).reshape(2, SCORE_BINS)[:, ::-1].cumsum(axis=1)
+    u, q = seen[0] / n, seen[1] / p
+    some = q > 0
+    bound = math.sqrt(math.log(4 / DOUBT) / (2 * n)) + math.sqrt(math.log(4 / DOUBT) / (2 * p))
+    best = np.argmin((u[some] + 1.01 * bound) / q[some])
+    return float(min(max(u[some][best] / q[some][best], 0.02), 0.98))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", learn: str | None = None, threshold: float = 0.7, prior: float | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default: all) of docs with score (0 to 1) and predicted (1 if score >= threshold, else 0); columns of docs that are named so are replaced.
+    """The columns keep (default: all) of docs with score (0 to 1) and predicted (1 if score >= threshold, else 0); columns of docs that are named so are replaced, other names don't matter.
 
-    Learns from the rows where the boolean column learn of docs is true (None: all). labels: (id_col, label), 1 for trusted positives; an id with both labels isn't trusted. Other labels serve only to estimate the prior, which may be given instead. A score depends on the text alone. Null and empty texts are scored by their features, all zero; without trusted positives every score is one half. Rows with a null id are scored and unlabelled; repeated rows are scored alike; no rows give no rows.
+    Learns from the rows where the boolean column learn of docs is true (None: all). labels: (id_col, label), 1 for trusted positives; an id with both labels isn't trusted. Other labels aren't used: the prior, where it isn't given, is estimated from trusted positives and all texts to learn from. A score depends on the text alone, of whatever length. Null and empty texts are scored by their features, all zero; without trusted positives every score is one half. Rows with a null id are scored and unlabelled; repeated rows and equal texts are scored alike; no rows give no rows.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    learned = F.lit(True) if learn is None else F.coalesce(F.col(f"`{learn}`"), F.lit(False))
-    named = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{id_col}`").alias("__id"), learned.alias("__learn"), F.col(f"`{text}`").alias("__text"))
-    table = materialise(with_features(named, [*kept, "__id", "__learn"], "__text"))
-    model = fit_model(table.select(F.col("__id").alias("id"), F.col("__learn").alias("learn"), "x"), labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label")), prior)
-    return predict(table, model, kept, threshold)
+    learned = F.lit(True) if learn is None else F.coalesce(named(learn), F.lit(False))
+    frame = docs.select(packed(kept).alias("own"), named(id_col).alias("id"), learned.alias("learn"), named(text).alias("text"))
+    table = materialise(with_features(frame, ["own", "id", "learn"], "text").select(*unpacked(["own", "id", "learn"]), "x"))
+    model = fit_model(table.select("id", "learn", "x"), labels.select(named(id_col).alias("id"), named(label).alias("label")), prior)
+    scored = predict(table.select(F.col("own").alias(KEPT), "x"), model, threshold)
+    return scored.select(*unpacked(kept), "score", "predicted")
 
 
 def fit_model(table: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
     """table: (id, learn, x); labels: (id, label)."""
-    known = labels.where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    learning = materialise(table.where("learn").join(known, "id", "left").select("x", (F.coalesce(F.col("low"), F.lit(0)) == 1).alias("positive"), F.col("low").isNotNull().alias("labelled")))
-    n = learning.agg(F.count_if("positive").alias("p"), F.count_if("labelled").alias("n")).first()
-    return fit(learning, estimate_prior(n.p, n.n) if prior is None else prior)
+    known = labels.where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("low"))
+    learning = materialise(table.where("learn").join(known, "id", "left").select("x", (F.coalesce(F.col("low"), F.lit(0)) == 1).alias("positive")))
+    return fit(learning, prior)
 
 
-def predict(table: DataFrame, model: Model, kept: list[str], threshold: float = 0.7) -> DataFrame:
-    """Columns kept of table with score and predicted from its column x."""
+def predict(table: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """table (kept, x) as (kept, score, predicted)."""
     shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            score = shared.value.score(matrix(rows.column(rows.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*rows.schema.names[:-1], "score", "predicted"])
+            score = shared.value.score(matrix(rows.column(1)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[KEPT, "score", "predicted"])
 
-    frame = table.select(*[F.col(f"`{c}`") for c in kept], "x")
-    return arrow_map(frame, run, StructType(frame.schema.fields[:-1]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return arrow_map(table.select(KEPT, "x"), run, StructType([table.schema[KEPT]]).add("score", DoubleType()).add("predicted", IntegerType()))

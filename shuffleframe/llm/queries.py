@@ -19,7 +19,7 @@ def piece_model() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), piece_model(), digests=True, keep=["doc_id"])
+    return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), piece_model(), ids=None, digests=True, keep=["doc_id"])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,8 @@ def byte_encoder():
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    by = lambda pattern: tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return token_counts.by_runs(by(public_tokenizers.PATTERN), by(r"[\s\S]+"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

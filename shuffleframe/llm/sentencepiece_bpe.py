@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map
+from .common import KEPT, arrow_map, named, packed, unpacked
 
 SPACE = "▁"
 #: Units and pairs that a worker remembers, by number and by length; this bounds memory and changes no result.
@@ -348,39 +348,32 @@ def model(path: str) -> BpeModel:
     return _MODELS[path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, digests: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Adds to the columns keep (default: all) the column ids (array<int>) of each whole text; with decoded, that column with the text that the ids decode to; with digests, instead n_tokens, ids_sha256 and decoded_sha256 of both.
+def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids: str | None = "ids", decoded: str | None = None, digests: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Adds to the columns keep (default: all) the column ids (array<int>) of each whole text (None: not); with decoded, that column with the text that the ids decode to; with digests, n_tokens, ids_sha256 and decoded_sha256 of both.
 
-    Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated rows, no rows give no rows. Columns of docs that have the name of a new column are replaced. model_path must exist on every executor.
+    Null and empty texts have no ids and decode to the empty text. Very long texts are encoded whole. Repeated rows give repeated rows, no rows give no rows. Columns of docs that have the name of a new column are replaced; other names don't matter. model_path must exist on every executor.
     One pass without a shuffle; a worker holds the model, a bounded memory of units, and one text at a time.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [ids, *[decoded] * (decoded is not None)]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = "__source_text"
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(source))
-    kinds = {"n_tokens": T.LongType(), ids: T.ArrayType(T.IntegerType())}
-    schema = T.StructType(frame.schema.fields[:-1])
-    for c in new:
-        schema = schema.add(c, kinds.get(c, T.StringType()))
+    kinds = {ids: T.ArrayType(T.IntegerType())} if ids is not None else {}
+    kinds |= {decoded: T.StringType()} if decoded is not None else {}
+    kinds |= {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {}
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in kinds]
+    frame = docs.select(packed(kept), named(text).alias("text"))
+    made = ["ids"] * (ids is not None) + ["decoded"] * (decoded is not None) + ["n_tokens", "ids_sha256", "decoded_sha256"] * digests
+    schema = T.StructType([frame.schema[KEPT], *[T.StructField(c, k) for c, k in zip(made, kinds.values(), strict=True)]])
+    arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
         decimal = [str(i) for i in range(len(bpe.pieces))]
         for rows in batches:
-            columns: list[list] = [[] for _ in new]
-            for value in rows.column(rows.num_columns - 1):
+            columns: dict[str, list] = {c: [] for c in made}
+            for value in rows.column(1):
                 got = bpe.encode(value.as_py())
-                if digests:
-                    columns[0].append(len(got))
-                    columns[1].append(hashlib.sha256(",".join([decimal[i] for i in got]).encode()).hexdigest())
-                    columns[2].append(hashlib.sha256(bpe.decode(got).encode("utf-8", "surrogatepass")).hexdigest())
-                else:
-                    columns[0].append(got)
-                    if decoded is not None:
-                        columns[1].append(bpe.decode(got))
-            arrow = {"n_tokens": pa.int64(), ids: pa.list_(pa.int32())}
-            made = [pa.array(x, type=arrow.get(c, pa.string())) for c, x in zip(new, columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *made], names=[*rows.schema.names[:-1], *new])
-
-    return arrow_map(frame, run, schema)
+                back = bpe.decode(got) if digests or decoded is not None else None
+                of = {"ids": lambda: got, "decoded": lambda: back, "n_tokens": lambda: len(got), "ids_sha256": lambda: hashlib.sha256(",".join([decimal[i] for i in got]).encode()).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()}  # noqa: B023
+                for c, out in columns.items():
+                    out.append(of[c]())
+            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(x, type=arrow.get(c, pa.string())) for c, x in columns.items()]], names=[KEPT, *made])
 
+    return arrow_map(frame, run, schema).select(*unpacked(kept), *[F.col(c).alias(name) for c, name in zip(made, kinds, strict=True)])

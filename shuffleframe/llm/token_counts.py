@@ -9,6 +9,7 @@ before it and the position after the last of them, which stitches the documents
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,33 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialise
 
 BLOCK_BYTES = 8 << 20
+#: White space characters in a row from which on a run is taken out of a text before it is encoded; this changes no id.
+LONG_RUN = 4096
+#: The characters that Unicode counts as white space.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Blocks of a group of the prefix scan.
 GROUP = 1024
 
 
+def by_runs(encode: Callable[[str], list[int]], encode_run: Callable[[str], list[int]], longest: int = LONG_RUN) -> Callable[[str], list[int]]:
+    """encode for texts with runs of white space of any length, on which a byte-level encoder's pattern runs out of stack.
+
+    The pattern takes such a run as one unit, but for its last character if anything follows, which belongs to what follows. So a run of longest characters or more is encoded by encode_run, as one unit, and the text before it and from its last character on by encode: the same ids as of the whole.
+    """
+    runs = re.compile(f"[{_WHITE}]{{{max(2, longest)},}}")
+
+    def whole(text: str) -> list[int]:
+        at, out = 0, []
+        for run in runs.finditer(text):
+            to = run.end() - (run.end() < len(text))
+            out += encode(text[at : run.start()])
+            out += encode_run(text[run.start() : to])
+            at = to
+        return out + encode(text[at:]) if at else encode(text)
+
+    return whole
+
+
 def token_files(spark: SparkSession, path: str, suffix: str = ".bin") -> DataFrame:
     """(file, bytes) of the token files below a folder, or of one file. Listed by the driver, a row a file."""
     where, root = fs.FileSystem.from_uri(path)
@@ -36,7 +60,7 @@ def token_files(spark: SparkSession, path: str, suffix: str = ".bin") -> DataFra
 
 
 def write_token_files(docs: DataFrame, path: str, encode: Callable[[], Callable[[str], list[int]]], eod: int, dtype: str = "<u2", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes a token file a task and returns (id, file, ordinal, bytes): where each row's document stands. Null texts have no tokens.
+    """Writes a token file a task and returns (id, file, ordinal, bytes): where each row's document stands. Null and empty texts have no tokens; repeated rows are documents of their own; rows with a null id are written as well; no rows give no rows. Other columns aren't read.
 
     encode() is called once a task and gives the function that encodes a text. The rows returned are those of successful tasks, so files of other attempts count for nothing.
     """

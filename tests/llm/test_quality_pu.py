@@ -78,3 +78,50 @@ def test_classify(spark, made):
 def test_held_out_accuracy(spark):
     got = queries.op7_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
+
+
+def test_every_feature_is_of_the_whole_text(monkeypatch):
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(rng.choices(["the", "OF", "x!!", "a" * 25, "é", "12", "$$"], k=rng.randrange(0, 9))) for _ in range(300)), "one line " * 900, "\n" * 3000, "same line of words\n" * 200, "w" * 5000]
+    whole = [P.features(t) for t in texts]
+    for size in (1, 7, 500):
+        monkeypatch.setattr(P, "PIECE", size)
+        assert all((P.features(t) == x).all() for t, x in zip(texts, whole, strict=True))
+
+
+def test_prior_without_negative_labels(spark):
+    """From trusted positives and all texts, for several parts of positives; which negatives are labelled changes nothing."""
+    rng = random.Random(15)
+    for part in (0.5, 0.9):
+        rows = [(i, good(rng) if y else bad(rng), y) for i in range(2000) for y in [int(rng.random() < part)]]
+        labels = [(i, y) for i, _, y in rows if rng.random() < 0.4]
+        table = spark.createDataFrame([(i, True, P.features(t).tobytes()) for i, t, _ in rows], "id long, learn boolean, x binary").cache()
+        frame = lambda known: spark.createDataFrame(known, "id long, label int")
+        model = P.fit_model(table, frame(labels))
+        assert abs(model.prior - part) < 0.08
+        assert P.fit_model(table, frame([x for x in labels if x[1]])).prior == pytest.approx(model.prior)
+
+
+def test_prior_on_the_table(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(8)
+    table = P.with_features(docs, ["doc_id"]).selectExpr("kept.`0` id", "true learn", "x").cache()
+    share = labels.agg({"quality": "avg"}).first()[0]
+    assert abs(P.fit_model(table, labels.toDF("id", "label")).prior - share) < 0.05
+
+
+def test_query_scores_against_plain_ones(spark):
+    """The query's scores are those of the model fitted on the rows to learn from, computed one by one."""
+    from shuffleframe.llm.common import held_out
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id for r in labels.where(~held_out("doc_id", 4, 2)).collect() if r.quality == 1}
+    rows = [(P.features(r.text).tobytes(), r.doc_id in good) for r in docs.where(~held_out("doc_id", 4, 2)).collect()]
+    model = P.fit(spark.createDataFrame(rows, "x binary, positive boolean"))
+    got = {r.doc_id: r for r in queries.op7_quality(spark, sf).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == text.keys()
+    for i, r in got.items():
+        assert abs(r.score - model.score(P.features(text[i])[None])[0]) < 1e-6 and r.predicted == (r.score >= 0.7)

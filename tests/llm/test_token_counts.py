@@ -71,3 +71,33 @@ def test_query_against_brute_force(spark):
     encode = queries.byte_encoder()
     want = sorted((r.doc_id, len(encode(r.text or ""))) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
     assert sorted(map(tuple, queries.op8_token_counts(spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_long_runs(spark, tmp_path):
+    """Runs of white space longer than an encoder's stack can take, and other long runs."""
+    encode = queries.byte_encoder()
+    assert len(encode(" " * 1_000_000)) > 0 and len(encode("a" + "\n" * 1_000_000 + "b")) > 0 and len(encode("x" * 10_000_000)) > 0
+    rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "word" + "\t " * 500_000 + " word"), (4, "\u3000" * 300_000 + "x")]
+    written = T.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/t", queries.byte_encoder, queries.END_OF_DOCUMENT)
+    got = written.join(T.token_counts(written, queries.END_OF_DOCUMENT), ["file", "ordinal"]).collect()
+    assert {r.id: r.n_tokens for r in got} == {i: len(encode(t)) for i, t in rows}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=" \n\t\u2003\x85\x1cab1!'é", max_size=40), st.integers(2, 5))
+def test_runs_change_no_id(text, longest):
+    plain, one = _encoders()
+    assert T.by_runs(plain, one, longest)(text) == plain(text)
+
+
+def _encoders(made=[]):  # noqa: B006
+    if not made:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        made += [tiktoken.Encoding("t", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (public_tokenizers.PATTERN, r"[\s\S]+")]
+    return made
