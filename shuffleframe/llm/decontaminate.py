@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise
+from .common import arrow_map, materialise, named, packed, unpacked
 
 #: Template words of a window; items that are shorter are one window. Part of an item's windows that a hit holds.
 WINDOW, SHARE = 8, 0.5
@@ -244,8 +244,9 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id
             for i, value in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 if i is None:
                     continue
-                for width in widths:
-                    for base, hashes, kinds, plain, free in _template_pieces(value.as_py(), width - 1):
+                # one template for all widths; windows in the overlap of pieces may come twice
+                for base, hashes, kinds, plain, free in _template_pieces(value.as_py(), widths[-1] - 1 if widths else 0):
+                    for width in widths:
                         found = template_windows(hashes, kinds, plain, width)
                         sets = [(False, kinds, np.arange(len(found)), found)]
                         if len(found):
@@ -289,3 +290,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of = lambda column: F.when(loose, F.col(f"all_{column}")).otherwise(F.col(f"strict_{column}"))
     hits = lines.where(holds("strict") | loose).select("doc_id", "item_id", "n_windows", of("windows").alias("windows"), F.exists(of("pairs"), lambda p: p["i"] != p["d"]).alias("reparameterised"))
     return hits.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("n_windows").alias("n_windows"), F.min("reparameterised").alias("reparameterised"))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item of the benchmark (see contaminated), with all their columns, whose names don't matter.
+
+    Rows are told apart by a number of their own, so rows with a null or repeated id are decided by their own text. The texts are written once and shuffled only if the rows to remove are too many to broadcast.
+    """
+    numbered = materialise(docs.select(packed(docs.columns), F.monotonically_increasing_id().alias("row"), named(text).alias("text")))
+    hits = materialise(contaminated(numbered.select("row", "text"), benchmark, "row", text="text").select(F.col("doc_id").alias("row")).distinct())
+    return numbered.join(hits, "row", "left_anti").select(*unpacked(docs.columns))

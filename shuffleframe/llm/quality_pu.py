@@ -143,19 +143,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, DIM)
 
 
-def summed(frame: DataFrame, f) -> np.ndarray:
-    """The sum over all rows of f(x, positive), a fixed number of doubles for a batch; added up on the executors."""
+def summed(frame: DataFrame, f, *others: str) -> np.ndarray:
+    """The sum over all rows of f(x, positive, others), a fixed number of doubles for a batch; added up on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for rows in batches:
             if rows.num_rows:
-                part = f(matrix(rows.column(0)), np.asarray(rows.column(1).to_pylist(), bool))
+                part = f(matrix(rows.column(0)), np.asarray(rows.column(1).to_pylist(), bool), *(c.to_numpy() for c in rows.columns[2:]))
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
-    rows = arrow_map(frame.select("x", "positive"), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = arrow_map(frame.select("x", "positive", *others), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(len(rows))
     for r in rows:
         out[r.i] = r.v
@@ -209,44 +209,54 @@ def estimate_prior(positives: int, labelled: int) -> float:
     return min(max((positives + 1) / (labelled + 2), 0.02), 0.98)
 
 
-#: Rounds of the fit of trusted positives against all texts, bins of its scores, and the chance that the bound of a bin's part doesn't hold.
-SPLIT_ROUNDS, SCORE_BINS, DOUBT = 8, 1000, 0.1
+#: Rounds and ridge of the fits of trusted positives against all texts, bins of their scores, and the chance that the bound of a bin's part doesn't hold.
+SPLIT_ROUNDS, SPLIT_RIDGE, SCORE_BINS, DOUBT = 8, 0.1, 1000, 0.1
 
 
 def mixture_prior(frame: DataFrame, mean: np.ndarray, scale: np.ndarray) -> float:
     """The class prior from trusted positives and unlabelled texts alone: the best bin of a score (Garg et al. 2021).
 
-    Among the texts that score highest by a fit of positives against all texts hardly one is negative, so the part of all texts that is there, over the part of the positives that is, estimates the prior. The cut is where the upper bound of that ratio is smallest. Kept from 0 and 1.
+    Among the texts that score highest by a fit of positives against all texts hardly one is negative, so the part of all texts that is there, over the part of the positives that is, estimates the prior. The cut is where the upper bound of that ratio is smallest. Texts are in two folds (the column half, 0 or 1, if frame has it; else by their place), and each is scored by the fit to the other one, as a fit scores its own positives too high. Kept from 0 and 1.
     """
+    if "half" not in frame.columns:
+        frame = frame.withColumn("half", F.pmod(F.monotonically_increasing_id(), F.lit(2)))
     d = DIM + 1
-    w = np.zeros(d)
-    n, p = 0.0, 0.0
+    w = np.zeros((2, d))
+    n = p = np.zeros(2)
     for _ in range(SPLIT_ROUNDS):
 
-        def terms(x, positive, w=w):
-            z = design(x, mean, scale)
-            s = _sigmoid(z @ w)
-            bent = s * (1 - s)
-            zp, sp, bp = z[positive], s[positive], bent[positive]
-            return np.concatenate([[len(z), len(zp)], s @ z, (1 - sp) @ zp, ((z * bent[:, None]).T @ z).ravel(), ((zp * bp[:, None]).T @ zp).ravel()])
-
-        t = summed(frame, terms)
-        n, p = t[0], t[1]
-        curves = t[2 + 2 * d :].reshape(2, d, d)
-        step = -np.linalg.solve(curves[0] / n + curves[1] / p + RIDGE * np.eye(d), t[2 : 2 + d] / n - t[2 + d : 2 + 2 * d] / p + RIDGE * w)
-        size = float(np.linalg.norm(step))
-        w = w + step * min(1.0, STEP / max(size, 1e-12))
-        if size < 1e-2:
+        def terms(x, positive, of, w=w):
+            out = []
+            for k in range(2):
+                z, known = design(x[of == k], mean, scale), positive[of == k]
+                s = _sigmoid(z @ w[k])
+                bent = s * (1 - s)
+                zp, sp, bp = z[known], s[known], bent[known]
+                out += [[len(z), len(zp)], s @ z, (1 - sp) @ zp, ((z * bent[:, None]).T @ z).ravel(), ((zp * bp[:, None]).T @ zp).ravel()]
+            return np.concatenate(out)
+
+        t = summed(frame, terms, "half").reshape(2, -1)
+        n, p = t[:, 0], t[:, 1]
+        moved = 0.0
+        for k in range(2):
+            each_n, each_p = max(n[k], 1), max(p[k], 1)
+            curves = t[k, 2 + 2 * d :].reshape(2, d, d)
+            step = -np.linalg.solve(curves[0] / each_n + curves[1] / each_p + SPLIT_RIDGE * np.eye(d), t[k, 2 : 2 + d] / each_n - t[k, 2 + d : 2 + 2 * d] / each_p + SPLIT_RIDGE * w[k])
+            size = float(np.linalg.norm(step))
+            w[k] = w[k] + step * min(1.0, STEP / max(size, 1e-12))
+            moved = max(moved, size)
+        if moved < 1e-2:
             break
 
-    def bins(x, positive):
-        at = np.minimum((_sigmoid(design(x, mean, scale) @ w) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
+    def bins(x, positive, of):
+        other = 1 - of
+        at = np.minimum((_sigmoid((design(x, mean, scale) * w[other]).sum(axis=1)) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
         return np.concatenate([np.bincount(at, minlength=SCORE_BINS), np.bincount(at[positive], minlength=SCORE_BINS)]).astype(np.float64)
 
-    seen = summed(frame, bins).reshape(2, SCORE_BINS)[:, ::-1].cumsum(axis=1)
-    u, q = seen[0] / n, seen[1] / p
+    seen = summed(frame, bins, "half").reshape(2, SCORE_BINS)[:, ::-1].cumsum(axis=1)
+    u, q = seen[0] / n.sum(), seen[1] / p.sum()
     some = q > 0
-    bound = math.sqrt(math.log(4 / DOUBT) / (2 * n)) + math.sqrt(math.log(4 / DOUBT) / (2 * p))
+    bound = math.sqrt(math.log(4 / DOUBT) / (2 * n.sum())) + math.sqrt(math.log(4 / DOUBT) / (2 * p.sum()))
     best = np.argmin((u[some] + 1.01 * bound) / q[some])
     return float(min(max(u[some][best] / q[some][best], 0.02), 0.98))
 
@@ -268,7 +278,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 def fit_model(table: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
     """table: (id, learn, x); labels: (id, label)."""
     known = labels.where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("low"))
-    learning = materialise(table.where("learn").join(known, "id", "left").select("x", (F.coalesce(F.col("low"), F.lit(0)) == 1).alias("positive")))
+    learning = materialise(table.where("learn").join(known, "id", "left").select("x", (F.coalesce(F.col("low"), F.lit(0)) == 1).alias("positive"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")))
     return fit(learning, prior)
 
 

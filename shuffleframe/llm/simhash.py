@@ -8,7 +8,10 @@ there are 15 keys of about 21 bits. Equal fingerprints are joined as one before.
 A distance that stands for a similarity of shingles of 0.8 takes longer fingerprints, as that is 15 % of the
 bits. near_copies() uses 256 bits, of several seeds, and splits them into 12 blocks in several orders of the
 bits: in each order pairs of up to 11 bits share a block for certain, and over all orders pairs at a similarity
-of 0.8 do so with a probability of 0.9, at 0.85 of 0.98, at 0.9 of 0.999.
+of 0.8 do so with a probability of 0.9, at 0.85 of 0.98, at 0.9 of 0.999. For the pairs that are lost so, 768 more
+bits are made of each shingle's first hash, and 48 blocks of all 1024 bits are further keys: pairs that share any key
+and differ in few of the 1024 bits are candidates, whose shingles are compared, and those that are similar by 0.8 or
+more are linked too. Rows that are alone with a key leave it before fingerprints are sent.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, same_group_pairs, spanning_forest, word_blocks
+from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, named, packed, same_group_pairs, spanning_forest, unpacked, word_blocks
 from .components import connected_components
 
 BITS = 64
@@ -33,18 +36,41 @@ CHUNK = 512
 HELD = 1_000_000
 
 
-def fingerprints(text: str | None, width: int, seeds: tuple[int, ...]) -> np.ndarray:
-    """The SimHash of a whole text's word shingles with repeats, for each seed: a bit is set where more than half of the shingles' XXH64 have it.
+#: Odd factors that further hashes are made of a hash with, the finaliser of splitmix64.
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+    return bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+
+
+def fingerprints(text: str | None, width: int, seeds: tuple[int, ...], more: int = 0) -> np.ndarray:
+    """The SimHash of a whole text's word shingles with repeats, for each seed: a bit is set where more than half of the shingles' XXH64 have it. more: so many words follow, of hashes made of the first seed's.
 
     Fewer words than width are one shingle; null and texts without words have fingerprint zero.
     """
-    ones, n = np.zeros((len(seeds), BITS), np.int64), 0
+    ones, n = np.zeros((len(seeds) + more, BITS), np.int64), 0
     carried: list[bytes] = []
 
     def add(shingles: list[bytes]) -> None:
+        first = None
         for k, seed in enumerate(seeds):
             hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), "<u8", len(shingles))
-            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            first = hashes if first is None else first
+            ones[k] += _bit_counts(hashes)
+        for k in range(more):
+            ones[len(seeds) + k] += _bit_counts(_mixed(first, k + 1))
 
     for block in word_blocks(text):
         words = carried + block
@@ -61,22 +87,22 @@ def fingerprints(text: str | None, width: int, seeds: tuple[int, ...]) -> np.nda
     if not n and carried:
         n = 1
         add([b" ".join(carried)])
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0] if n else np.zeros(len(seeds), np.uint64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0] if n else np.zeros(len(seeds) + more, np.uint64)
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(fingerprints(text, width, (seed,))[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """(id, fp, fp1, ...): the fingerprint of each row's text for each seed, as signed longs. One pass without a shuffle."""
-    frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    names = columns(len(seeds))
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, seeds: tuple[int, ...] = (42,), more: int = 0) -> DataFrame:
+    """(id, fp, fp1, ...): the words of each row's fingerprints, as signed longs. One pass without a shuffle."""
+    frame = docs.select(named(id_col).alias("id"), named(text).alias("text"))
+    names = columns(len(seeds) + more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps = np.array([fingerprints(x.as_py(), width, seeds) for x in rows.column(1)], np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(fps[:, k]) for k in range(len(seeds))]], names=["id", *names])
+            fps = np.array([fingerprints(x.as_py(), width, seeds, more) for x in rows.column(1)], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(fps[:, k]) for k in range(len(names))]], names=["id", *names])
 
     return arrow_map(frame, run, f"id {frame.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
 
@@ -93,32 +119,56 @@ def block_keys(fp: Column, distance: int, blocks: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("choice"), fp.bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen)))).alias("bits")) for k, chosen in enumerate(combinations(range(blocks), blocks - distance))])
 
 
-def _linked(distance: int, words: int = 1):
+def _linked(distance: int, words: int = 1, more: int = 0, more_distance: int = 0, plain_choices: int = 1 << 30):
+    """Links rows of a key that differ in distance bits of the first words at most, if the key's choice is below plain_choices. With more words, there is a column sure, true for these links, and false for pairs that such links don't connect and that differ in more_distance bits of all words at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
+        nothing = np.zeros(0, np.int64)
+        a, b, c, d = [nothing], [nothing], [nothing], [nothing]
 
         def out() -> pa.RecordBatch:
             u, v = spanning_forest(np.concatenate(a), np.concatenate(b))
-            a.clear()
-            b.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+            x, y = np.concatenate(c), np.concatenate(d)
+            for part in (a, b, c, d):
+                part[1:] = []
+            if not more:
+                return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+            order = np.argsort(u)  # a node is at most once in u
+
+            def root(of: np.ndarray) -> np.ndarray:
+                if not len(u):
+                    return of
+                at = np.minimum(np.searchsorted(u[order], of), len(u) - 1)
+                return np.where(u[order][at] == of, v[order][at], of)
+
+            apart = root(x) != root(y)
+            x, y = np.unique(np.sort(np.stack([x[apart], y[apart]], axis=1), axis=1), axis=0).T
+            sure = np.arange(len(u) + len(x)) < len(u)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, x]), pa.int64()), pa.array(np.concatenate([v, y]), pa.int64()), pa.array(sure)], names=["a", "b", "sure"])
 
         held = 0
         for rows in complete_groups(batches, ["choice", "bits", "low", "high"]):
             choice, bits, low, high, own, node = (rows.column(c).to_numpy() for c in ("choice", "bits", "low", "high", "own", "node"))
-            fps = [rows.column(c).to_numpy().view(np.uint64) for c in columns(words)]  # signed numbers would be counted by their absolute value
+            fps = [rows.column(c).to_numpy().view(np.uint64) for c in columns(words + more)]  # signed numbers would be counted by their absolute value
             for x, y in same_group_pairs(group_numbers(choice, bits, low, high)):
-                apart = sum(np.bitwise_count(fp[x] ^ fp[y]).astype(np.int16) for fp in fps)
-                meet = (apart <= distance) & ((low[x] == high[x]) | (own[x] != own[y]))
+                apart = sum(np.bitwise_count(fp[x] ^ fp[y]).astype(np.int16) for fp in fps[:words])
+                meet = (apart <= distance) & (choice[x] < plain_choices) & ((low[x] == high[x]) | (own[x] != own[y]))
+                if more:
+                    # of all bits, these are few: pairs that are farther apart in them by a multiple are no pairs of all
+                    some = np.flatnonzero(~meet & (apart <= NARROW) & ((low[x] == high[x]) | (own[x] != own[y])))
+                    every = apart[some] + sum(np.bitwise_count(fp[x[some]] ^ fp[y[some]]).astype(np.int16) for fp in fps[words:])
+                    some = some[every <= more_distance]
+                    c.append(node[x[some]])
+                    d.append(node[y[some]])
+                    held += len(some)
                 if meet.any():
                     a.append(node[x[meet]])
                     b.append(node[y[meet]])
                     held += len(a[-1])
-                    if held > HELD:
-                        yield out()
-                        held = 0
-        if a:
+                if held > HELD:
+                    yield out()
+                    held = 0
+        if held:
             yield out()
 
     return run
@@ -166,22 +216,85 @@ def order_keys(fps: np.ndarray, orders: int = ORDERS, split: int = SPLIT) -> np.
     return np.stack(out, axis=1)
 
 
+#: Further words of a fingerprint, blocks of all its bits, the bits of 1024 that candidates may differ in (155 at a similarity of 0.8, and 3 standard deviations (11.5) for chance), and those of the first 256 that such pairs stay below (39 and 5 of theirs).
+MORE, MORE_SPLIT, MORE_APART, NARROW = 12, 48, 190, 68
+#: Similarity of sets of shingles from which on a candidate is linked.
+ALIKE = 0.8
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(id, fp, shingles): of each row the first word of its fingerprint and the sorted 64-bit hashes of its text's different word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                value = rows.column(1)[i].as_py()
+                hashes: list[np.ndarray] = []
+                carried: list[bytes] = []
+                digests = lambda words, n: np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + width]), seed=SEEDS[0]) for k in range(n)], np.uint64).view(np.int64)
+                for block in word_blocks(value):
+                    carried += block
+                    if len(carried) >= width:
+                        hashes.append(digests(carried, len(carried) - width + 1))
+                        carried = carried[len(carried) - width + 1 :]
+                if not hashes and carried:
+                    hashes.append(digests(carried, 1))
+                found = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.int64)
+                fp = fingerprints(value, width, SEEDS[:1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, 1), pa.array(fp), pa.array([found], pa.list_(pa.int64()))], names=["id", "fp", "shingles"])
+
+    frame = docs.select(named(id_col).alias("id"), named(text).alias("text"))
+    return arrow_map(frame, run, f"id {frame.schema['id'].dataType.simpleString()}, fp long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, alike: float = ALIKE) -> DataFrame:
+    """The pairs (a, b) of nodes of distinct whose texts' sets of shingles are similar (Jaccard) by alike or more. Only texts that are in a pair are read into sets."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "fp"), "node"))
+    sets = materialise(shingle_sets(docs.join(wanted.select(F.col("node").alias("__node")), named(id_col) == F.col("__node"), "left_semi"), id_col, text, width))
+    # a repeated id may have several texts: one with a node's fingerprint counts
+    sets = sets.join(wanted, (F.col("id") == F.col("node")) & (sets["fp"] == wanted["fp"])).select("node", "shingles").dropDuplicates(["node"])
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= F.lit(alike) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, apart: int = APART, chunk: int = CHUNK) -> DataFrame:
-    """As near_duplicates, but for texts whose word shingles are similar by 0.8 or more: fingerprints of 256 bits that differ in at most apart bits and share a block in one of the orders."""
-    names = columns(len(SEEDS))
-    prints = materialise(with_fingerprints(docs, id_col, text, width, SEEDS))
+    """As near_duplicates, but for texts whose word shingles are similar by 0.8 or more.
+
+    Linked are fingerprints of 256 bits that differ in at most apart bits and share a block in one of the orders, and texts whose fingerprints of 1024 bits share any block and differ in at most MORE_APART, if their sets of shingles are similar by ALIKE or more.
+    """
+    names = columns(len(SEEDS) + MORE)
+    prints = materialise(with_fingerprints(docs, id_col, text, width, SEEDS, MORE))
     distinct = materialise(prints.where("id is not null").groupBy(*names).agg(F.min("id").alias("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, 2000):
                 some = rows.slice(at, 2000)
-                keys = order_keys(np.stack([c.to_numpy() for c in some.columns[1:]], axis=1).view(np.uint64))
+                fps = np.stack([c.to_numpy() for c in some.columns[1:]], axis=1).view(np.uint64)
+                keys = np.concatenate([order_keys(fps[:, : len(SEEDS)]), order_keys(fps, 1, MORE_SPLIT)], axis=1)
                 n, k = keys.shape
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), k)), pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(keys.ravel())], names=["node", "choice", "bits"])
 
     keyed = arrow_map(distinct.select("node", *names), run, "node long, choice int, bits long")
     key = ["choice", "bits", "low", "high"]
-    dealt = in_chunks(keyed, ["choice", "bits"], chunk, "node").join(distinct, "node").select(*key, "own", *names, "node")
-    found = arrow_map(dealt.repartition(*key).sortWithinPartitions(*key), _linked(apart, len(SEEDS)), "a long, b long")
-    return _with_components(prints, distinct, found, names)
+    dealt = in_chunks(keyed, ["choice", "bits"], chunk, "node", alone=False).join(distinct, "node").select(*key, "own", *names, "node")
+    linked = _linked(apart, len(SEEDS), MORE, MORE_APART, ORDERS * SPLIT)
+    found = materialise(arrow_map(dealt.repartition(*key).sortWithinPartitions(*key), linked, "a long, b long, sure boolean"))
+    sure = found.where("sure").select("a", "b")
+    more = verified(materialise(found.where("not sure").select("a", "b").distinct()), distinct, docs, id_col, text, width)
+    return _with_components(prints, distinct, sure.unionByName(more), names)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those that are near copies of another: of each class that near_copies() finds, the row with the smallest id stays (null is larger than all), of equal ids one.
+
+    Rows are told apart by a number of their own, so rows that repeat an id with other texts are decided separately, and rows with a null id are compared as well. Null and empty texts are a class. Columns of docs may have any name. The texts are written once and shuffled only if the rows to remove are too many to broadcast.
+    """
+    numbered = materialise(docs.select(packed(docs.columns), F.monotonically_increasing_id().alias("row"), named(id_col).alias("id"), named(text).alias("text")))
+    classes = near_copies(numbered.select("row", "text"), "row").select(F.col("id").alias("row"), "component")
+    ordered = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    several = materialise(classes.join(numbered.select("row", "id"), "row"))
+    stays = several.groupBy("component").agg(F.min(ordered).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", F.col("first.row").alias("stays"))
+    goes = materialise(several.join(stays, "component").where("row != stays").select("row"))
+    return numbered.join(goes, "row", "left_anti").select(*unpacked(docs.columns))

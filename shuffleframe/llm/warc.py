@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from .common import named
+
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, content_type string, payload_bytes long, payload binary, file string, offset long"
 #: Columns that headers give, and the headers.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "content_type": "Content-Type"}
@@ -376,7 +378,7 @@ def with_revisits(pages: DataFrame, id_col: str, payload: str, at_least: int = 0
     """
     names = ("record_type", "refers_to", "__key", "__largest", "__n")
     data = F.coalesce(F.col(f"`{payload}`"), F.lit(b""))
-    keyed = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in names], F.when(F.octet_length(data) >= at_least, F.unhex(F.sha2(data, 256))).alias("__key"))
+    keyed = pages.select(*[named(c) for c in pages.columns if c not in names], F.when(F.octet_length(data) >= at_least, F.unhex(F.sha2(data, 256))).alias("__key"))
     again = keyed.where("__key is not null").groupBy("__key").agg(F.max(f"`{id_col}`").alias("__largest"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     joined = keyed.join(again, "__key", "left")
     revisit = F.col("__n").isNotNull() & ~F.col(f"`{id_col}`").eqNullSafe(F.col("__largest"))

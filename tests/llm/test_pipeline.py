@@ -63,3 +63,39 @@ def F_lit(x):
     from pyspark.sql import functions as F
 
     return F.lit(x)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are decided by their own text: an id that is repeated or null neither saves nor loses another row."""
+    sf = "/root/testdata/sf0.001"
+    words = [f"word{i * 7919 % 1000}" for i in range(400)]
+    text = lambda k, n=120: " ".join(words[k : k + n])
+    near = text(0).replace("word0 ", "other ", 1)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(5, text(0)), (5, text(130)), (6, text(0)), (4, near), (None, text(130)), (None, text(260)), (None, f"{text(200, 50)}. {item} {text(150, 50)}"), (9, item), (9, text(300, 90)), (9, text(300, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", "kept?") for i, t in rows], "doc_id long, text string, lang string, source string, `a.b` string")
+    kept = C.near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(4, near), (5, text(130)), (0, text(260)), (0, rows[6][1]), (9, item), (9, text(300, 90))])
+    clean = C.decontamination(spark, docs, sf)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in rows if item not in t)
+    for _, stage in C.STAGES[:2]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and {r["a.b"] for r in out.collect()} <= {"kept?"}
+    last = C.tokens(spark, docs, sf).collect()
+    assert len(last) == len(rows) and all(r.n_tokens == len(r.ids) > 0 for r in last)
+
+
+def test_recall_of_near_duplicates(spark):
+    """Of pairs of texts whose shingles of five words are similar by 0.8 or more, compared one by one, nine in ten end in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").dropDuplicates(["text"])
+    words = {r.doc_id: r.text.lower().split() for r in docs.collect()}
+    shingles = {i: {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    by = {}
+    for i, s in shingles.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    met = {(a, b) for x in by.values() for a in x for b in x if a < b}
+    alike = [(a, b) for a, b in met if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    got = {r.id: r.component for r in simhash.near_copies(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.9 * len(alike)

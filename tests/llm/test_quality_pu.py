@@ -118,8 +118,8 @@ def test_query_scores_against_plain_ones(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     good = {r.doc_id for r in labels.where(~held_out("doc_id", 4, 2)).collect() if r.quality == 1}
-    rows = [(P.features(r.text).tobytes(), r.doc_id in good) for r in docs.where(~held_out("doc_id", 4, 2)).collect()]
-    model = P.fit(spark.createDataFrame(rows, "x binary, positive boolean"))
+    rows = [(r.doc_id, P.features(r.text).tobytes(), r.doc_id in good) for r in docs.where(~held_out("doc_id", 4, 2)).collect()]
+    model = P.fit(spark.createDataFrame(rows, "doc_id long, x binary, positive boolean").selectExpr("x", "positive", "pmod(xxhash64(doc_id), 2) half"))
     got = {r.doc_id: r for r in queries.op7_quality(spark, sf).collect()}
     text = {r.doc_id: r.text for r in docs.collect()}
     assert got.keys() == text.keys()

@@ -108,3 +108,29 @@ def test_near_copies_against_brute_force(spark):
     assert got[900] == got[901] == 900 and got[None] is None
     keys = H.order_keys(np.array([[1, 2, 3, 4], [1, 2, 3, 4 + 2**40]], np.uint64))
     assert keys.shape == (2, 72) and (keys[0] != keys[1]).sum() == 6
+
+
+def test_shingle_sets(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [None, "", "one", "one two three four five", " ".join(rng.choices(["Aa", "b", "c"], k=600)), " ".join(f"w{i}" for i in range(300))]
+    whole = H.word_blocks
+    for size in (1 << 20, 3, 50):
+        monkeypatch.setattr(H, "word_blocks", lambda t, size=size: whole(t, size))
+        got = {r.id: set(r.shingles) for r in H.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), "id", "text", 5).collect()}
+        for i, t in enumerate(texts):
+            words = (t or "").lower().split()
+            want = {xxhash.xxh64_intdigest(" ".join(words[k : k + 5]), seed=42) for k in range(max(1, len(words) - 4))} if words else set()
+            assert {x % 2**64 for x in got[i]} == want, (size, i)
+
+
+def test_candidates_are_verified(spark):
+    """Pairs that only the further keys find are linked from a similarity of 0.8 on, and not below."""
+    a = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(a)), (2, " ".join(["x", *a])), (3, " ".join([*a[:120], *[f"z{i}" for i in range(80)]])), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = H.with_fingerprints(docs, width=5, seeds=H.SEEDS, more=H.MORE)
+    distinct = prints.groupBy(*H.columns(len(H.SEEDS) + H.MORE)).agg({"id": "min"}).withColumnRenamed("min(id)", "node")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "a long, b long")
+    assert sorted(map(tuple, H.verified(pairs, distinct, docs, "doc_id", "text", 5).collect())) == [(1, 2)]
+    assert sorted(map(tuple, H.verified(pairs, distinct, docs, "doc_id", "text", 5, 0.3).collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert (H.fingerprints(rows[0][1], 5, (42, 43), 2)[:2] == H.fingerprints(rows[0][1], 5, (42, 43))).all()
