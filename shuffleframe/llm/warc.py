@@ -1,9 +1,10 @@
 """WARC 1.1 archives as a Spark data source in Python, for reading and writing.
 
-Reading plans one partition a file. Predicates on the record type and on header columns are pushed down: of
-each record the headers are parsed first, and the payload of a record that they exclude is neither decoded
-nor kept. Plain files are passed over by seeking; of gzip files, with one member a record, only as much of a
-member as the headers need is inflated, and members written here name their length, so the rest is sought past.
+Reading plans partitions of whole files, small ones together. Predicates on the record type and on header columns
+are pushed down: of each record the headers are parsed first, and the payload of a record that they exclude is neither
+decoded nor kept. Where payloads aren't wanted at all, a record is read to the end of its HTTP head, which tells the
+payload's length. Plain files are passed over by seeking; of gzip files, with one member a record, only as much of a
+member as is needed is inflated, and members written here name their length, so the rest is sought past.
 
 Writing makes one file a task, in the folder given, through the file system that the path's scheme names.
 The files of successful tasks are named in a manifest that the driver writes last, and a reader of that folder
@@ -21,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,9 +37,10 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "content_type": "Content-Type"}
 #: Fixed values of the format.
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "_manifest.json"
 LEVEL, BATCH_BYTES = 4, 8 << 20
+#: Bytes of files that a partition reads, but for single files that are larger; bytes that are read ahead.
+PARTITION_BYTES, AHEAD = 16 << 20, 1 << 20
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -46,16 +49,16 @@ def digest(payload: bytes) -> str:
 
 
 def _field(value: str) -> str:
-    """A header's value without characters that would end it."""
+    """A header's value without characters that would end it: controls and blanks, which no URI holds as they are, become %XX."""
     return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def record(kind: str, record_id: str, payload: bytes, target_uri: str | None = None, date: str | None = None, refers_to: str | None = None, content_type: str = "text/html; charset=utf-8") -> bytes:
-    """A record's bytes. response: an HTTP response with the payload; revisit: its head only, with length and digest of the payload; else the payload itself."""
+    """A record's bytes; without a date, of now. response: an HTTP response with the payload; revisit: its head only, with length and digest of the payload; else the payload itself."""
     http = kind in ("response", "revisit")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() if http else b""
     block = head if kind == "revisit" else head + payload
-    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <{_field(record_id)}>", f"WARC-Date: {date or DATE}"]
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <{_field(record_id)}>", f"WARC-Date: {date or datetime.now(UTC).strftime('%Y-%m-%dT%H:%M:%SZ')}"]
     if target_uri is not None:
         lines.append(f"WARC-Target-URI: {_field(target_uri)}")
     if kind == "revisit":
@@ -126,22 +129,26 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class _Source:
-    """A file's bytes from a position on."""
+    """A file's bytes from a position on, through a window of it that is held."""
 
     def __init__(self, file, size: int, at: int = 0):
         self.file, self.size, self.at = file, size, at
-        self.buffer = b""
-
-    def need(self, n: int) -> bytes:
-        """At least n bytes from the position, or all that are left."""
-        if len(self.buffer) < n:
-            self.file.seek(self.at + len(self.buffer))
-            self.buffer += self.file.read(max(n - len(self.buffer), 1 << 20))
-        return self.buffer
+        self.buffer, self.start = b"", at
+
+    def need(self, n: int, ahead: int = 0) -> bytes:
+        """n bytes from so far ahead of the position, or those that are left."""
+        begin = self.at + ahead
+        inside = begin - self.start
+        if inside < 0 or inside + n > len(self.buffer) and self.start + len(self.buffer) < self.size:
+            held = self.buffer[inside:] if 0 <= inside < len(self.buffer) else b""
+            if begin + len(held) < self.size:
+                self.file.seek(begin + len(held))
+                held += self.file.read(max(n - len(held), AHEAD))
+            self.buffer, self.start, inside = held, begin, 0
+        return self.buffer[inside : inside + n]
 
     def skip(self, n: int) -> None:
         self.at += n
-        self.buffer = self.buffer[n:] if n < len(self.buffer) else b""
 
 
 class _Plain:
@@ -165,11 +172,17 @@ class _Plain:
             n *= 2
 
     def block(self, head: int, length: int) -> bytes:
-        data = self.source.need(head + 4 + length)[head + 4 : head + 4 + length]
+        data = self.source.need(length, head + 4)
         if len(data) < length:
             raise ValueError("the record is cut off")
         return data
 
+    def begin(self, head: int, length: int, n: int) -> bytes:
+        """The block's first n bytes, or all of it."""
+        if self.source.at + head + 4 + length > self.source.size:
+            raise ValueError("the record is cut off")
+        return self.source.need(min(n, length), head + 4)
+
     def next(self, head: int, length: int) -> None:
         self.source.skip(head + 4 + length + 4)
 
@@ -202,7 +215,7 @@ class _Gzip:
             return False
         data = self.inflate.unconsumed_tail
         if not data:
-            data = self.source.need(self.read + (1 << 16))[self.read : self.read + (1 << 16)]
+            data = self.source.need(1 << 16, self.read)
             if not data:
                 raise ValueError("the record is cut off")
             self.read += len(data)
@@ -221,6 +234,14 @@ class _Gzip:
             self.text = b""
         return b"".join(parts)[head + 4 : head + 4 + length]
 
+    def begin(self, head: int, length: int, n: int) -> bytes:
+        """The block's first n bytes, or all of it; no more is inflated than they need."""
+        wanted = head + 4 + min(n, length)
+        while len(self.text) < wanted:
+            if not self._more(max(1 << 12, wanted - len(self.text))):
+                raise ValueError("the record is cut off")
+        return self.text[head + 4 : wanted]
+
     def next(self, head: int, length: int) -> None:
         if self.length is not None:
             self.source.skip(self.length)
@@ -250,10 +271,23 @@ def payload_of(block: bytes, content_type: str | None) -> tuple[bytes, int]:
     return body, int(length[1]) if length else len(body)
 
 
+def payload_length(records: _Plain | _Gzip, head: int, length: int, content_type: str | None) -> int:
+    """The length that the payload has by its HTTP head, of which no more than that is read; without such a head the block's."""
+    if not (content_type or "").startswith("application/http"):
+        return length
+    n = 1 << 10
+    while True:
+        begun = records.begin(head, length, n)
+        end = begun.find(b"\r\n\r\n")
+        if end >= 0 or len(begun) >= length:
+            said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", begun[:end] if end >= 0 else begun)
+            return int(said[1]) if said else length - end - 4 if end >= 0 else 0
+        n *= 4
+
+
 @dataclass
-class _File(InputPartition):
-    path: str
-    size: int
+class _Files(InputPartition):
+    files: list[tuple[str, int]]
 
 
 class WarcReader(DataSourceReader):
@@ -282,13 +316,21 @@ class WarcReader(DataSourceReader):
         where, root = fs.FileSystem.from_uri(self.path)
         info = where.get_file_info(root)
         if info.type == fs.FileType.File:
-            return [_File(root, info.size)]
+            return [_Files([(root, info.size)])]
         try:
             with where.open_input_stream(f"{root}/{MANIFEST}") as f:
                 infos = where.get_file_info([f"{root}/{x}" for x in json.loads(f.read())])
         except FileNotFoundError:
             infos = [x for x in where.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path)]
-        return [_File(x.path, x.size) for x in sorted(infos, key=lambda x: -x.size)] or [_File("", 0)]
+        groups: list[list[tuple[str, int]]] = []
+        held = 0
+        for x in sorted(infos, key=lambda x: (-x.size, x.path)):
+            if not groups or held + x.size > PARTITION_BYTES:
+                groups.append([])
+                held = 0
+            groups[-1].append((x.path, x.size))
+            held += x.size
+        return [_Files(g) for g in groups] or [_Files([])]
 
     def wanted(self, columns: dict[str, str | None]) -> bool:
         for column, how, value in self.predicates:
@@ -297,17 +339,19 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         where, _ = fs.FileSystem.from_uri(self.path)
+        for path, size in partition.files:
+            yield from self._read(where, path, size)
+
+    def _read(self, where: fs.FileSystem, path: str, size: int) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 7 + [pa.int64(), pa.binary(), pa.string(), pa.int64()]
         names = [*HEADERS, "payload_bytes", "payload", "file", "offset"]
         out: list[list] = [[] for _ in names]
         held = 0
         made = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
-        with where.open_input_file(partition.path) as f:
-            source = _Source(f, partition.size)
+        with where.open_input_file(path) as f:
+            source = _Source(f, size)
             records = _Gzip(source) if source.need(2)[:2] == b"\x1f\x8b" else _Plain(source)
             while True:
                 at = source.at
@@ -322,16 +366,19 @@ class WarcReader(DataSourceReader):
                         columns[c] = columns[c] and columns[c].strip("<>")
                     columns["payload_digest"] = columns["payload_digest"] and columns["payload_digest"].rpartition(":")[2]
                     if self.wanted(columns):
-                        payload, n = payload_of(records.block(len(head), length), columns["content_type"])
                         whole = columns["record_type"] != "revisit"
+                        if self.with_payload or self.verify:
+                            payload, n = payload_of(records.block(len(head), length), columns["content_type"])
+                        else:
+                            payload, n = b"", payload_length(records, len(head), length, columns["content_type"])
                         if self.verify and whole and (n != len(payload) or columns["payload_digest"] not in (None, digest(payload))):
                             raise ValueError("the payload doesn't have its digest or length")
-                        for column, x in zip(out, (*columns.values(), n, payload if whole and self.with_payload else None, partition.path, at), strict=True):
+                        for column, x in zip(out, (*columns.values(), n, payload if whole and self.with_payload else None, path, at), strict=True):
                             column.append(x)
                         held += len(payload) + 500
                     records.next(len(head), length)
                 except (ValueError, KeyError, zlib.error) as error:
-                    raise ValueError(f"{partition.path}, record at {at}: {error}") from error
+                    raise ValueError(f"{path}, record at {at}: {error}") from error
                 if held > BATCH_BYTES:
                     yield made()
                     out = [[] for _ in names]

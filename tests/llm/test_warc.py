@@ -84,3 +84,36 @@ def test_query_against_brute_force(spark):
         largest[p] = max(i, largest.get(p, i))
     want = sorted((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if largest[p] == i else "revisit", None if largest[p] == i else largest[p]) for i, p in pages)
     assert sorted(map(tuple, queries.op4_warc(spark, "/root/testdata/sf0.01").collect())) == want
+
+
+def test_payloads_that_are_not_wanted(spark, archive, monkeypatch):
+    """Without payloads the same records, lengths and digests come, and no block is decoded whole."""
+    full = {r.record_id: r for r in W.read_warc(spark, archive).collect()}
+    short = {r.record_id: r for r in W.read_warc(spark, archive, payload=False).collect()}
+    assert full.keys() == short.keys()
+    for i, r in short.items():
+        assert r.payload is None and (r.payload_bytes, r.payload_digest, r.record_type, r.offset) == (full[i].payload_bytes, full[i].payload_digest, full[i].record_type, full[i].offset)
+    inflated = []
+    for cls in (W._Gzip, W._Plain):
+        monkeypatch.setattr(cls, "block", lambda self, *a: 1 / 0)
+        monkeypatch.setattr(cls, "begin", lambda self, *a, real=cls.begin: inflated.append(len(x := real(self, *a))) or x)
+    reader = W.WarcReader(archive, {"payload": "false"})
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == len(full)
+    assert max(inflated) <= 1 << 10
+
+
+def test_files_together_and_windows(spark, tmp_path, monkeypatch):
+    records = [W.record(kind, f"urn:{i}", b"p" * (i * 37), content_type="text/plain") for i, kind in enumerate(["response", "resource", "revisit"] * 30)]
+    for k in range(9):
+        (tmp_path / f"{k}.warc").write_bytes(b"".join(records[k::9]))
+        (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(map(W.member, records[k::9])))
+    reader = W.WarcReader(f"file://{tmp_path}", {"payload": "false"})
+    assert len(reader.partitions()) == 1
+    monkeypatch.setattr(W, "PARTITION_BYTES", 20_000)
+    assert 1 < len(reader.partitions()) < 18
+    for ahead in (1, 100, 5000):
+        monkeypatch.setattr(W, "AHEAD", ahead)
+        for options in ({"payload": "false"}, {}):
+            r = W.WarcReader(f"file://{tmp_path}", options)
+            got = sorted((i, n) for p in r.partitions() for b in r.read(p) for i, n in zip(b.column(1).to_pylist(), b.column(7).to_pylist(), strict=True))
+            assert got == sorted([(f"urn:{i}", i * 37) for i in range(90)] * 2)
