@@ -63,6 +63,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_text(docs: DataFrame, kept: list[str], text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """(KEPT and the text, what gives a batch's texts): a text that is among the columns kept is sent once."""
+    if text in kept:
+        at = kept.index(text)
+        return docs.select(packed(kept)), lambda rows: rows.column(0).field(at)
+    return docs.select(packed(kept), named(text).alias("text")), lambda rows: rows.column(1)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """True where crc32 of the id's decimal text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))

@@ -297,6 +297,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Rows are told apart by a number of their own, so rows with a null or repeated id are decided by their own text. The texts are written once and shuffled only if the rows to remove are too many to broadcast.
     """
-    numbered = materialise(docs.select(packed(docs.columns), F.monotonically_increasing_id().alias("row"), named(text).alias("text")))
-    hits = materialise(contaminated(numbered.select("row", "text"), benchmark, "row", text="text").select(F.col("doc_id").alias("row")).distinct())
+    numbered = materialise(docs.select(packed(docs.columns), F.monotonically_increasing_id().alias("row")))
+    texts = numbered.select("row", unpacked(docs.columns)[docs.columns.index(text)].alias("text"))
+    hits = materialise(contaminated(texts, benchmark.select(named("item_id").alias("item_id"), named("text").alias("text")), "row").select(F.col("doc_id").alias("row")).distinct())
     return numbered.join(hits, "row", "left_anti").select(*unpacked(docs.columns))

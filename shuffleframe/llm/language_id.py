@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from .common import KEPT, arrow_map, materialise, named, packed, unpacked
+from .common import KEPT, arrow_map, materialise, named, unpacked, with_text
 
 #: Hashed n-grams.
 FEATURES = 8192
@@ -242,14 +242,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
     """
     new = [prefix + c for c in ("lang_pred", "score", "rejected")]
     kept = [c for c in docs.columns if c not in new]
-    frame = docs.select(packed(kept), named(text).alias("text"))
+    frame, texts = with_text(docs, kept, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, 256):
                 some = rows.slice(at, 256)
-                lang, score, rejected = shared.value.predict(some.column(some.num_columns - 1).to_pylist())
+                lang, score, rejected = shared.value.predict(texts(some).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[KEPT, "lang", "score", "rejected"])
 
     schema = StructType([frame.schema[KEPT]]).add("lang", StringType()).add("score", DoubleType()).add("rejected", BooleanType())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructType
 
-from .common import _BLANK, KEPT, arrow_map, materialise, named, packed, unpacked
+from .common import _BLANK, KEPT, arrow_map, materialise, named, packed, unpacked, with_text
 
 #: Symbols whose part of the text is a feature each.
 SYMBOLS = b"!?.,;:|$%&#*@/\\<>{}[]()_=+-~^`'\""
@@ -129,11 +129,11 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
 
 def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """(kept, x): the columns keep as one struct, and the features of the text as doubles in bytes. Neither a shuffle nor memory beyond one text."""
-    frame = docs.select(packed(keep), named(text).alias("text"))
+    frame, texts = with_text(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            x = pa.array([features(v.as_py()).tobytes() for v in rows.column(1)], pa.binary())
+            x = pa.array([features(v.as_py()).tobytes() for v in texts(rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(0), x], names=[KEPT, "x"])
 
     return arrow_map(frame, run, StructType([frame.schema[KEPT]]).add("x", BinaryType()))

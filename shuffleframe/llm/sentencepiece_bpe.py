@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEPT, arrow_map, named, packed, unpacked
+from .common import KEPT, arrow_map, unpacked, with_text
 
 SPACE = "▁"
 #: Units and pairs that a worker remembers, by number and by length; this bounds memory and changes no result.
@@ -358,7 +358,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
     kinds |= {decoded: T.StringType()} if decoded is not None else {}
     kinds |= {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in kinds]
-    frame = docs.select(packed(kept), named(text).alias("text"))
+    frame, texts = with_text(docs, kept, text)
     made = ["ids"] * (ids is not None) + ["decoded"] * (decoded is not None) + ["n_tokens", "ids_sha256", "decoded_sha256"] * digests
     schema = T.StructType([frame.schema[KEPT], *[T.StructField(c, k) for c, k in zip(made, kinds.values(), strict=True)]])
     arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
@@ -368,7 +368,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
         decimal = [str(i) for i in range(len(bpe.pieces))]
         for rows in batches:
             columns: dict[str, list] = {c: [] for c in made}
-            for value in rows.column(1):
+            for value in texts(rows):
                 got = bpe.encode(value.as_py())
                 back = bpe.decode(got) if digests or decoded is not None else None
                 of = {"ids": lambda: got, "decoded": lambda: back, "n_tokens": lambda: len(got), "ids_sha256": lambda: hashlib.sha256(",".join([decimal[i] for i in got]).encode()).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()}  # noqa: B023

@@ -291,8 +291,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Rows are told apart by a number of their own, so rows that repeat an id with other texts are decided separately, and rows with a null id are compared as well. Null and empty texts are a class. Columns of docs may have any name. The texts are written once and shuffled only if the rows to remove are too many to broadcast.
     """
-    numbered = materialise(docs.select(packed(docs.columns), F.monotonically_increasing_id().alias("row"), named(id_col).alias("id"), named(text).alias("text")))
-    classes = near_copies(numbered.select("row", "text"), "row").select(F.col("id").alias("row"), "component")
+    numbered = materialise(docs.select(packed(docs.columns), F.monotonically_increasing_id().alias("row"), named(id_col).alias("id")))
+    texts = numbered.select("row", unpacked(docs.columns)[docs.columns.index(text)].alias("text"))
+    classes = near_copies(texts, "row").select(F.col("id").alias("row"), "component")
     ordered = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     several = materialise(classes.join(numbered.select("row", "id"), "row"))
     stays = several.groupBy("component").agg(F.min(ordered).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", F.col("first.row").alias("stays"))
