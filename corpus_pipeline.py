@@ -20,7 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier, learned from docs and their labels, scores below its threshold. Null and empty texts are scored as the empty text, texts of any length whole; equal texts are decided alike. Without trusted positives nothing is known to be good and everything goes."""
-    scored = quality_pu.classify(docs.select(packed(docs.columns), named("doc_id").alias("doc_id"), named("text").alias("text")), table(spark, sf_dir, "labels"), keep=[KEPT])
+    plain = docs.select(packed(docs.columns))
+    of = lambda c: unpacked(docs.columns)[docs.columns.index(c)]
+    scored = quality_pu.classify(plain.withColumns({"doc_id": of("doc_id"), "text": of("text")}), table(spark, sf_dir, "labels"), keep=[KEPT])
     return scored.where("predicted = 1").select(*unpacked(docs.columns))
 
 
