@@ -81,3 +81,32 @@ def test_recall_on_the_table(spark):
     assert all(got[i].n_links <= k for (i, _, _), k in zip(rows, n, strict=True))
     assert sum(got[i].component_id == low[i] for i, _, _ in rows) >= 0.99 * len(rows)
     assert random.Random(0)
+
+
+def test_copies_are_one_vector(spark):
+    """Thousands of copies, of several ids, labels and a neighbour, are counted in full."""
+    rng = np.random.default_rng(7)
+    hot = rng.standard_normal(32)
+    near = (hot + rng.standard_normal(32) * 0.01).tolist()
+    rows = [(i, hot.tolist(), i % 2) for i in range(6000)] + [(6000, near, 1), (6001, near, 0), (6002, near, None), (6002, rng.standard_normal(32).tolist(), 1)]
+    got = {(r.id, r.n_links, r.component) for r in C.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(7)).collect()}
+    assert got == {(i, 3000, i % 2) for i in range(6000)} | {(6000, 3000, 1), (6001, 3000, 0), (6002, 0, 6002)}
+
+
+@pytest.mark.parametrize("rows", [1, C.SERVED, C.SERVED + 1, C.SERVED << 8])
+def test_code_size_keeps_recall(rows):
+    """At the threshold itself, with the codes of a label of so many rows."""
+    words, height, least = C.code_size(rows)
+    assert words == (16 if rows <= C.SERVED else 32 if rows <= C.SERVED << 4 else 64)
+    codes, rng = C.Codes.make(64, words=words, height=height, least=least), np.random.default_rng(8)
+    x, z = rng.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    pairs = list(zip(codes.decode(x), codes.decode(y), strict=True))
+    assert sum(len(np.intersect1d(a, b)) > 0 for a, b in pairs) >= 995
+    assert sum(len(np.intersect1d(a, b)) > 0 for (a, _), (b, _) in zip(pairs, pairs[1:], strict=False)) <= 20
+
+
+def test_signs_apart():
+    assert C.signs_apart(1.0) == 0 and C.signs_apart(0.98) < 30 < C.signs_apart(0.9) and C.signs_apart(-1.0) == C.SIGNS
