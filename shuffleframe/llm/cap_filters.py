@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, named, same_group_pairs, spanning_forest
+from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, named, promising, same_group_pairs, spanning_forest
 from .components import connected_components
 
 #: Blocks of a code and the least code words of a block: words ** BLOCKS filters.
@@ -181,24 +181,6 @@ def components_type(vectors: DataFrame, vector: str) -> str:
     return "<f4" if vectors.schema[vector].dataType.elementType == FloatType() else "<f8"
 
 
-def _promising(apart: int):
-    """The numbers of rows that have another of their group with no more than so many other signs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in complete_groups(batches, ["key", "low", "high"]):
-            key, low, high, own, row, s0, s1 = (rows.column(c).to_numpy() for c in ("key", "low", "high", "own", "row", "s0", "s1"))
-            one, two = s0.view(np.uint64), s1.view(np.uint64)  # signed numbers would be counted by their absolute value
-            meets = np.zeros(len(key), bool)
-            for x, y in same_group_pairs(group_numbers(key, low, high)):
-                near = (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= apart) & ((low[x] == high[x]) | (own[x] != own[y]))
-                meets[x[near]] = True
-                meets[y[near]] = True
-            if meets.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(row[meets]))], names=["row"])
-
-    return run
-
-
 def _verified(threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in complete_groups(batches, ["key", "low", "high"], 20_000):
@@ -293,7 +275,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     keyed = classes.select(F.explode("filters").alias("filter"), "label", "dim", "row", "s0", "s1").select(F.xxhash64("label", "dim", "filter").alias("key"), "row", "s0", "s1")
     dealt = in_chunks(keyed, ["key"], chunk, "row").select("key", "low", "high", "own", "row", "s0", "s1")
     order = ["key", "low", "high"]
-    some = arrow_map(dealt.repartition(*order).sortWithinPartitions(*order), _promising(signs_apart(threshold)), "row long")
+    some = arrow_map(dealt.repartition(*order).sortWithinPartitions(*order), promising("row", ["s0", "s1"], signs_apart(threshold)), "row long")
     near = materialise(classes.join(materialise(some.distinct()), "row", "left_semi").select("row", "label", "dim", "v", "n", "filters"))
 
     keys = ["label", "dim", "filter"]

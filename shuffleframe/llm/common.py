@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,7 +88,21 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     conf = df.sparkSession.conf
     if not 0 < int(re.sub(r"[^-\d]", "", conf.get(_BATCH_CONF))) <= BATCH_BYTES:
         conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system: Spark keeps workers for later tasks, beside the heap of the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -179,6 +195,24 @@ def same_group_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
         yield at, at + d
 
 
+def promising(row: str, words: list[str], apart: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The values of row, a long, that have another of their group (key, low, high) whose words of bits differ from theirs in no more than apart bits; no pairs are sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in complete_groups(batches, ["key", "low", "high"]):
+            key, low, high, own, number = (rows.column(c).to_numpy() for c in ("key", "low", "high", "own", row))
+            bits = [rows.column(c).to_numpy().view(np.uint64) for c in words]  # signed numbers would be counted by their absolute value
+            meets = np.zeros(len(key), bool)
+            for x, y in same_group_pairs(group_numbers(key, low, high)):
+                near = (sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in bits) <= apart) & ((low[x] == high[x]) | (own[x] != own[y]))
+                meets[x[near]] = True
+                meets[y[near]] = True
+            if meets.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(number[meets]))], names=[row])
+
+    return run
+
+
 def in_chunks(keyed: DataFrame, keys: list[str], chunk: int, spread: str, alone: bool = True) -> DataFrame:
     """The rows of keyed, dealt so that no group exceeds 2 * chunk rows and any two rows with equal keys meet in just one group.
 

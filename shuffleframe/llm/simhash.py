@@ -11,7 +11,8 @@ bits: in each order pairs of up to 11 bits share a block for certain, and over a
 of 0.8 do so with a probability of 0.9, at 0.85 of 0.98, at 0.9 of 0.999. For the pairs that are lost so, 768 more
 bits are made of each shingle's first hash, and 48 blocks of all 1024 bits are further keys: pairs that share any key
 and differ in few of the 1024 bits are candidates, whose shingles are compared, and those that are similar by 0.8 or
-more are linked too. Rows that are alone with a key leave it before fingerprints are sent.
+more are linked too. All keys are first joined with the first 256 bits only, which says what fingerprints have a partner near
+enough for either; only these go through the join that carries all bits. What meets by chance ends there.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, named, packed, same_group_pairs, spanning_forest, unpacked, word_blocks
+from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, named, packed, promising, same_group_pairs, spanning_forest, unpacked, word_blocks
 from .components import connected_components
 
 BITS = 64
@@ -258,14 +259,8 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= F.lit(alike) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, apart: int = APART, chunk: int = CHUNK) -> DataFrame:
-    """As near_duplicates, but for texts whose word shingles are similar by 0.8 or more.
-
-    Linked are fingerprints of 256 bits that differ in at most apart bits and share a block in one of the orders, and texts whose fingerprints of 1024 bits share any block and differ in at most MORE_APART, if their sets of shingles are similar by ALIKE or more.
-    """
-    names = columns(len(SEEDS) + MORE)
-    prints = materialise(with_fingerprints(docs, id_col, text, width, SEEDS, MORE))
-    distinct = materialise(prints.where("id is not null").groupBy(*names).agg(F.min("id").alias("node")))
+def _keyed(distinct: DataFrame, names: list[str], carried: list[str] | tuple[()] = ()) -> DataFrame:
+    """(node, choice, bits, carried words): a row for each block of each fingerprint, choices below ORDERS * SPLIT of its first words, the others of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -274,11 +269,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
                 fps = np.stack([c.to_numpy() for c in some.columns[1:]], axis=1).view(np.uint64)
                 keys = np.concatenate([order_keys(fps[:, : len(SEEDS)]), order_keys(fps, 1, MORE_SPLIT)], axis=1)
                 n, k = keys.shape
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), k)), pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(keys.ravel())], names=["node", "choice", "bits"])
+                again = [pa.array(np.repeat(some.column(c).to_numpy(), k)) for c in ("node", *carried)]
+                yield pa.RecordBatch.from_arrays([again[0], pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(keys.ravel()), *again[1:]], names=["node", "choice", "bits", *carried])
+
+    return arrow_map(distinct.select("node", *names), run, ", ".join(["node long, choice int, bits long", *(f"{c} long" for c in carried)]))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, apart: int = APART, chunk: int = CHUNK) -> DataFrame:
+    """As near_duplicates, but for texts whose word shingles are similar by 0.8 or more.
+
+    Linked are fingerprints of 256 bits that differ in at most apart bits and share a block in one of the orders, and texts whose fingerprints of 1024 bits share any block and differ in at most MORE_APART, if their sets of shingles are similar by ALIKE or more.
+    """
+    names = columns(len(SEEDS) + MORE)
+    prints = materialise(with_fingerprints(docs, id_col, text, width, SEEDS, MORE))
+    distinct = materialise(prints.where("id is not null").groupBy(*names).agg(F.min("id").alias("node")))
 
-    keyed = arrow_map(distinct.select("node", *names), run, "node long, choice int, bits long")
+    first = names[: len(SEEDS)]
+    order = ["key", "low", "high"]
+    sent = in_chunks(_keyed(distinct, names, first).withColumn("key", F.shiftleft(F.col("choice").cast("long"), 32) + F.col("bits")).drop("choice", "bits"), ["key"], chunk, "node")
+    some = arrow_map(sent.select(*order, "own", "node", *first).repartition(*order).sortWithinPartitions(*order), promising("node", first, max(apart, NARROW)), "node long")
+    near = materialise(distinct.join(materialise(some.distinct()), "node", "left_semi").select("node", *names))
+    keyed = _keyed(near, names)
     key = ["choice", "bits", "low", "high"]
-    dealt = in_chunks(keyed, ["choice", "bits"], chunk, "node", alone=False).join(distinct, "node").select(*key, "own", *names, "node")
+    dealt = in_chunks(keyed, ["choice", "bits"], chunk, "node", alone=False).join(near, "node").select(*key, "own", *names, "node")
     linked = _linked(apart, len(SEEDS), MORE, MORE_APART, ORDERS * SPLIT)
     found = materialise(arrow_map(dealt.repartition(*key).sortWithinPartitions(*key), linked, "a long, b long, sure boolean"))
     sure = found.where("sure").select("a", "b")
