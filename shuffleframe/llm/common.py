@@ -213,14 +213,15 @@ def promising(row: str, words: list[str], apart: int) -> Callable[[Iterator[pa.R
     return run
 
 
-def in_chunks(keyed: DataFrame, keys: list[str], chunk: int, spread: str, alone: bool = True) -> DataFrame:
+def in_chunks(keyed: DataFrame, keys: list[str], chunk: int, spread: str, differing: str | None = None) -> DataFrame:
     """The rows of keyed, dealt so that no group exceeds 2 * chunk rows and any two rows with equal keys meet in just one group.
 
     Adds the columns own, low and high: a key of n > chunk rows falls into ceil(n / chunk) chunks by a hash of the column spread, own; a row goes to the groups (keys, low, high) of its chunk with each chunk. Rows of different chunks are to be compared where low < high, those of one chunk where low = high. Rows of other keys stay as they are, in a group of their key.
-    keyed must be cheap to compute twice or materialised. Only the frequent keys are joined back, and no key is gathered in one task. alone false: rows that are the only one of their key, and so have no partner, are left out; then all other keys are joined back.
+    keyed must be cheap to compute twice or materialised. Only the frequent keys are joined back, and no key is gathered in one task. differing: a column; rows whose key has only one value of it, and so no partner with another, are left out, and all other keys are joined back.
     """
-    frequent = materialise(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (chunk if alone else 1)).withColumn("__chunks", F.ceil(F.col("__n") / chunk).cast("int")).drop("__n"))
-    joined = keyed.join(frequent, keys, "left" if alone else "inner")
+    wanted = F.min(differing) != F.max(differing) if differing else F.count(F.lit(1)) > chunk
+    frequent = materialise(keyed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("__chunks"), wanted.alias("__wanted")).where("__wanted").drop("__wanted"))
+    joined = keyed.join(frequent, keys, "inner" if differing else "left")
     many = F.coalesce(F.col("__chunks"), F.lit(1)) > 1
     own = F.when(many, F.pmod(F.xxhash64(F.lit("chunk"), F.col(spread)), F.col("__chunks").cast("long")).cast("int")).otherwise(F.lit(0))
     others = F.when(many, F.sequence(F.lit(0), F.col("__chunks") - 1)).otherwise(F.array(F.lit(0)))

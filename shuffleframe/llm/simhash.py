@@ -11,8 +11,10 @@ bits: in each order pairs of up to 11 bits share a block for certain, and over a
 of 0.8 do so with a probability of 0.9, at 0.85 of 0.98, at 0.9 of 0.999. For the pairs that are lost so, 768 more
 bits are made of each shingle's first hash, and 48 blocks of all 1024 bits are further keys: pairs that share any key
 and differ in few of the 1024 bits are candidates, whose shingles are compared, and those that are similar by 0.8 or
-more are linked too. All keys are first joined with the first 256 bits only, which says what fingerprints have a partner near
-enough for either; only these go through the join that carries all bits. What meets by chance ends there.
+more are linked too. All keys are first joined with the first 256 bits only, which links what they suffice for and says what
+fingerprints have a partner near enough for candidates that these links of a task don't connect; only these go through the join
+that carries all bits, under keys that fingerprints of several classes have. What meets by chance ends there, and so does a large
+class of near copies.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, named, packed, promising, same_group_pairs, spanning_forest, unpacked, word_blocks
+from .common import arrow_map, complete_groups, group_numbers, in_chunks, materialise, named, packed, same_group_pairs, spanning_forest, unpacked, word_blocks
 from .components import connected_components
 
 BITS = 64
@@ -120,8 +122,9 @@ def block_keys(fp: Column, distance: int, blocks: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("choice"), fp.bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen)))).alias("bits")) for k, chosen in enumerate(combinations(range(blocks), blocks - distance))])
 
 
-def _linked(distance: int, words: int = 1, more: int = 0, more_distance: int = 0, plain_choices: int = 1 << 30):
-    """Links rows of a key that differ in distance bits of the first words at most, if the key's choice is below plain_choices. With more words, there is a column sure, true for these links, and false for pairs that such links don't connect and that differ in more_distance bits of all words at most."""
+def _linked(distance: int, words: int = 1, narrow: int = 0, plain_choices: int = 0):
+    """Links rows of a key that differ in distance bits of their words at most. With narrow, the key is one long with its choice in the upper half, only choices below plain_choices link, and rows that differ in narrow bits at most from one that the links of their task don't connect with them are linked with themselves."""
+    keys = ["key", "low", "high"] if narrow else ["choice", "bits", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.zeros(0, np.int64)
@@ -132,36 +135,33 @@ def _linked(distance: int, words: int = 1, more: int = 0, more_distance: int = 0
             x, y = np.concatenate(c), np.concatenate(d)
             for part in (a, b, c, d):
                 part[1:] = []
-            if not more:
-                return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
-            order = np.argsort(u)  # a node is at most once in u
+            if len(u):
+                order = np.argsort(u)  # a node is at most once in u
 
-            def root(of: np.ndarray) -> np.ndarray:
-                if not len(u):
-                    return of
-                at = np.minimum(np.searchsorted(u[order], of), len(u) - 1)
-                return np.where(u[order][at] == of, v[order][at], of)
+                def root(of: np.ndarray) -> np.ndarray:
+                    at = order[np.minimum(np.searchsorted(u[order], of), len(u) - 1)]
+                    return np.where(u[at] == of, v[at], of)
 
-            apart = root(x) != root(y)
-            x, y = np.unique(np.sort(np.stack([x[apart], y[apart]], axis=1), axis=1), axis=0).T
-            sure = np.arange(len(u) + len(x)) < len(u)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, x]), pa.int64()), pa.array(np.concatenate([v, y]), pa.int64()), pa.array(sure)], names=["a", "b", "sure"])
+                apart = root(x) != root(y)
+                x, y = x[apart], y[apart]
+            themselves = np.unique(np.concatenate([x, y]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, themselves])), pa.array(np.concatenate([v, themselves]))], names=["a", "b"])
 
         held = 0
-        for rows in complete_groups(batches, ["choice", "bits", "low", "high"]):
-            choice, bits, low, high, own, node = (rows.column(c).to_numpy() for c in ("choice", "bits", "low", "high", "own", "node"))
-            fps = [rows.column(c).to_numpy().view(np.uint64) for c in columns(words + more)]  # signed numbers would be counted by their absolute value
-            for x, y in same_group_pairs(group_numbers(choice, bits, low, high)):
-                apart = sum(np.bitwise_count(fp[x] ^ fp[y]).astype(np.int16) for fp in fps[:words])
-                meet = (apart <= distance) & (choice[x] < plain_choices) & ((low[x] == high[x]) | (own[x] != own[y]))
-                if more:
-                    # of all bits, these are few: pairs that are farther apart in them by a multiple are no pairs of all
-                    some = np.flatnonzero(~meet & (apart <= NARROW) & ((low[x] == high[x]) | (own[x] != own[y])))
-                    every = apart[some] + sum(np.bitwise_count(fp[x[some]] ^ fp[y[some]]).astype(np.int16) for fp in fps[words:])
-                    some = some[every <= more_distance]
-                    c.append(node[x[some]])
-                    d.append(node[y[some]])
-                    held += len(some)
+        for rows in complete_groups(batches, keys):
+            *key, low, high, own, node = (rows.column(c).to_numpy() for c in (*keys, "own", "node"))
+            fps = [rows.column(c).to_numpy().view(np.uint64) for c in columns(words)]  # signed numbers would be counted by their absolute value
+            for x, y in same_group_pairs(group_numbers(*key, low, high)):
+                apart = sum(np.bitwise_count(fp[x] ^ fp[y]).astype(np.int16) for fp in fps)
+                compared = (low[x] == high[x]) | (own[x] != own[y])
+                meet = (apart <= distance) & compared
+                if narrow:
+                    meet &= key[0][x] >> 32 < plain_choices
+                    some = ~meet & (apart <= narrow) & compared
+                    if some.any():
+                        c.append(node[x[some]])
+                        d.append(node[y[some]])
+                        held += len(c[-1])
                 if meet.any():
                     a.append(node[x[meet]])
                     b.append(node[y[meet]])
@@ -175,6 +175,43 @@ def _linked(distance: int, words: int = 1, more: int = 0, more_distance: int = 0
     return run
 
 
+def _candidates(words: int, narrow: int, more: int, distance: int):
+    """The pairs of rows of a key that are of different components and differ in narrow bits of the first words and in distance bits of all words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            x, y = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1), axis=0).T
+            a.clear()
+            b.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        held = 0
+        for rows in complete_groups(batches, ["choice", "bits", "low", "high"]):
+            choice, bits, low, high, own, node, component = (rows.column(c).to_numpy() for c in ("choice", "bits", "low", "high", "own", "node", "component"))
+            fps = [rows.column(c).to_numpy().view(np.uint64) for c in columns(words + more)]
+            for x, y in same_group_pairs(group_numbers(choice, bits, low, high)):
+                some = (component[x] != component[y]) & ((low[x] == high[x]) | (own[x] != own[y]))
+                x, y = x[some], y[some]
+                apart = sum(np.bitwise_count(fp[x] ^ fp[y]).astype(np.int16) for fp in fps[:words])
+                # of all bits, these are few: pairs that are farther apart in them by a multiple are no pairs of all
+                x, y, apart = x[apart <= narrow], y[apart <= narrow], apart[apart <= narrow]
+                every = apart + sum(np.bitwise_count(fp[x] ^ fp[y]).astype(np.int16) for fp in fps[words:])
+                if (every <= distance).any():
+                    a.append(node[x[every <= distance]])
+                    b.append(node[y[every <= distance]])
+                    held += len(a[-1])
+                if held > HELD:
+                    yield out()
+                    held = 0
+        if held:
+            yield out()
+
+    return run
+
+
 def links(distinct: DataFrame, distance: int = 4, blocks: int = 6, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect all nodes whose fingerprints differ in at most distance bits; distinct: (fp, node), both long.
 
@@ -260,19 +297,19 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str
 
 
 def _keyed(distinct: DataFrame, names: list[str], carried: list[str] | tuple[()] = ()) -> DataFrame:
-    """(node, choice, bits, carried words): a row for each block of each fingerprint, choices below ORDERS * SPLIT of its first words, the others of all."""
+    """(node, choice, bits, carried columns, of longs): a row for each block of each fingerprint, choices below ORDERS * SPLIT of its first words, the others of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, 2000):
                 some = rows.slice(at, 2000)
-                fps = np.stack([c.to_numpy() for c in some.columns[1:]], axis=1).view(np.uint64)
+                fps = np.stack([some.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
                 keys = np.concatenate([order_keys(fps[:, : len(SEEDS)]), order_keys(fps, 1, MORE_SPLIT)], axis=1)
                 n, k = keys.shape
                 again = [pa.array(np.repeat(some.column(c).to_numpy(), k)) for c in ("node", *carried)]
                 yield pa.RecordBatch.from_arrays([again[0], pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(keys.ravel()), *again[1:]], names=["node", "choice", "bits", *carried])
 
-    return arrow_map(distinct.select("node", *names), run, ", ".join(["node long, choice int, bits long", *(f"{c} long" for c in carried)]))
+    return arrow_map(distinct.select("node", *names, *(c for c in carried if c not in names)), run, ", ".join(["node long, choice int, bits long", *(f"{c} long" for c in carried)]))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, apart: int = APART, chunk: int = CHUNK) -> DataFrame:
@@ -287,16 +324,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     first = names[: len(SEEDS)]
     order = ["key", "low", "high"]
     sent = in_chunks(_keyed(distinct, names, first).withColumn("key", F.shiftleft(F.col("choice").cast("long"), 32) + F.col("bits")).drop("choice", "bits"), ["key"], chunk, "node")
-    some = arrow_map(sent.select(*order, "own", "node", *first).repartition(*order).sortWithinPartitions(*order), promising("node", first, max(apart, NARROW)), "node long")
-    near = materialise(distinct.join(materialise(some.distinct()), "node", "left_semi").select("node", *names))
-    keyed = _keyed(near, names)
+    found = materialise(arrow_map(sent.select(*order, "own", "node", *first).repartition(*order).sortWithinPartitions(*order), _linked(apart, len(SEEDS), NARROW, ORDERS * SPLIT), "a long, b long"))
+    sure = materialise(connected_components(found))
+    # a class is done with by now: what may link it with another is all that goes on, and only under keys that several classes have
+    open_ = found.where("a = b").select(F.col("a").alias("node")).distinct()
+    near = materialise(distinct.join(open_, "node", "left_semi").join(sure, "node", "left").select("node", *names, F.coalesce("component", "node").alias("component")))
+    keyed = _keyed(near, names, ["component"])
     key = ["choice", "bits", "low", "high"]
-    dealt = in_chunks(keyed, ["choice", "bits"], chunk, "node", alone=False).join(near, "node").select(*key, "own", *names, "node")
-    linked = _linked(apart, len(SEEDS), MORE, MORE_APART, ORDERS * SPLIT)
-    found = materialise(arrow_map(dealt.repartition(*key).sortWithinPartitions(*key), linked, "a long, b long, sure boolean"))
-    sure = found.where("sure").select("a", "b")
-    more = verified(materialise(found.where("not sure").select("a", "b").distinct()), distinct, docs, id_col, text, width)
-    return _with_components(prints, distinct, sure.unionByName(more), names)
+    dealt = in_chunks(keyed, ["choice", "bits"], chunk, "node", differing="component").join(near.select("node", *names), "node").select(*key, "own", "component", *names, "node")
+    pairs = arrow_map(dealt.repartition(*key).sortWithinPartitions(*key), _candidates(len(SEEDS), NARROW, MORE, MORE_APART), "a long, b long")
+    more = verified(materialise(pairs.distinct()), distinct, docs, id_col, text, width)
+    return _with_components(prints, distinct, sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), names)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

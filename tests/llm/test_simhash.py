@@ -134,3 +134,48 @@ def test_candidates_are_verified(spark):
     assert sorted(map(tuple, H.verified(pairs, distinct, docs, "doc_id", "text", 5).collect())) == [(1, 2)]
     assert sorted(map(tuple, H.verified(pairs, distinct, docs, "doc_id", "text", 5, 0.3).collect())) == [(1, 2), (1, 3), (2, 3)]
     assert (H.fingerprints(rows[0][1], 5, (42, 43), 2)[:2] == H.fingerprints(rows[0][1], 5, (42, 43))).all()
+
+
+def test_large_classes_end_with_the_first_join(spark, monkeypatch):
+    """Rows under the keys of all bits don't grow with a class that 256 bits link; other texts end in the same classes, whatever the chunks are."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    base, other = [word() for _ in range(200)], [word() for _ in range(200)]
+    rows = [(0, " ".join(other)), (1, " ".join([word(), *other]))]
+    for i in range(160):
+        copy = list(base)
+        copy[rng.randrange(200)] = word()
+        rows.append((10 + i, " ".join(copy)))
+    whole, made = H.in_chunks, []
+
+    def counted(*args, **kwargs):
+        out = whole(*args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "in_chunks", counted)
+    for n, chunk in ((80, 512), (160, 512), (160, 16)):
+        docs = spark.createDataFrame(rows[: 2 + n], "doc_id long, text string")
+        got = {r.id: r.component for r in H.near_copies(docs, chunk=chunk).collect()}
+        assert got == {0: 0, 1: 0} | {10 + i: 10 for i in range(n)}
+        assert made[-1] <= 2 * 120, (n, chunk, made)
+
+
+def test_candidates_of_different_classes(spark):
+    """All pairs of different components that are near enough, in chunks or not, and no others."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 16, np.uint64)
+    fps = np.stack([base ^ np.array([sum(1 << int(b) for b in set(rng.integers(16, 64, k))) for _ in range(16)], np.uint64) for k in rng.integers(0, 14, 40)])
+    names = H.columns(16)
+    distinct = spark.createDataFrame([(i, *map(int, f), i % 3) for i, f in enumerate(fps.view(np.int64))], ", ".join(f"{c} long" for c in ["node", *names, "component"])).cache()
+    apart = lambda a, b, n: int(np.bitwise_count(fps[a, :n] ^ fps[b, :n]).sum())
+    want = {(a, b) for a in range(40) for b in range(a) if a % 3 != b % 3 and apart(a, b, 4) <= 40 and apart(a, b, 16) <= 150}
+    blocks = np.concatenate([H.order_keys(fps[:, :4]), H.order_keys(fps, 1, H.MORE_SPLIT)], axis=1)
+    want = {(b, a) for a, b in want if (blocks[a] == blocks[b]).any()}
+    assert len(want) > 50
+    for chunk in (512, 4):
+        key = ["choice", "bits", "low", "high"]
+        dealt = H.in_chunks(H._keyed(distinct, names, ["component"]), ["choice", "bits"], chunk, "node", differing="component").join(distinct.drop("component"), "node")
+        sent = dealt.select(*key, "own", "component", *names, "node").repartition(*key).sortWithinPartitions(*key)
+        got = H.arrow_map(sent, H._candidates(4, 40, 12, 150), "a long, b long").distinct().collect()
+        assert {tuple(r) for r in got} == want, chunk
