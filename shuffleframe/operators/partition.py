@@ -48,6 +48,19 @@ def exchange(df: DataFrame, spec: ExchangeSpec, start: int | None = None, end: i
     return dealt.sortWithinPartitions(*spec.order_by) if spec.order_by else dealt
 
 
+def together(df: DataFrame, column: str, n: int, check: str) -> DataFrame:
+    """df dealt for a write by column, whose values are 0 to n - 1: a value's rows lie in few tasks, but a task's share doesn't grow with the value's rows.
+
+    Adaptive execution splits what is larger than spark.sql.adaptive.advisoryPartitionSizeInBytes, by the tasks that its rows come from. Where the session has
+    it off, each value has an equal part of spark.sql.shuffle.partitions, and check, a hash of the row, deals its rows to these: alike in a repeated attempt.
+    """
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", n, column)
+    parts = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
+    task = F.col(column) * parts + F.pmod(F.xxhash64(check, F.spark_partition_id()), F.lit(parts)).cast("int")
+    return df.withColumn("__task", task).repartitionById(n * parts, F.col("__task")).drop("__task")
+
+
 def placed(df: DataFrame) -> DataFrame:
     """df with where its rows physically lie: partition, and position in it from 0."""
     return df.withColumn("partition", F.spark_partition_id()).withColumn("position", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

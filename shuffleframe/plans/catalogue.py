@@ -280,15 +280,19 @@ def store_read_around_damage(spark, d):
 
 
 def _damage(store: ExchangeStore, attempt, reduce_id: int) -> None:
+    """Puts one file of garbage in the place of a partition's files, however many there are."""
     folder = f"{attempt.path}/data/reduce_id={reduce_id}"
-    for name in store._files.list(folder):
+    names = store._files.list(folder)
+    for name in names[:-1]:
+        store._files.delete(f"{folder}/{name}")
+    for name in names[-1:]:
         store._files.replace(f"{folder}/{name}", "garbage")
 
 
 def store_dump_on_error(spark, d):
     """A partition's file holds garbage: a reader that fails leaves that partition's files, as they are, beside the store."""
     store = _store(spark)
-    attempt = store.put(_items(spark, d, "l_orderkey", "l_quantity").repartition(1), 1, ExchangeSpec(("l_orderkey",), N))
+    attempt = store.put(_items(spark, d, "l_orderkey", "l_quantity"), 1, ExchangeSpec(("l_orderkey",), N))
     _damage(store, attempt, 4)
     try:
         store.read_with(1, lambda rows: rows.count())

@@ -4,7 +4,8 @@ Layout, in any file system that Spark writes to:
     root/app_id/exchange/shuffle_id=S/attempt=UUID/data/reduce_id=R/*.parquet
     root/app_id/exchange/shuffle_id=S/attempt=UUID/manifest/*.parquet
     root/app_id/exchange/shuffle_id=S/CURRENT
-That is the layout "reduce": rows are exchanged first, so a partition is one folder. The layout "map" writes without an
+That is the layout "reduce": rows are exchanged first, so a partition is one folder, of as many files as its size asks for
+(in the modes range and round_robin of one). Rows are in the order of order_by within a file. The layout "map" writes without an
 exchange: each task's rows go to one file, sorted by reduce_id, and a range read skips row groups and pages by their
 smallest and largest reduce_id.
 Data come first, with a checksum column that is made in the same pass; then the manifest (rows and a checksum of each
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.partition import reduce_id, with_reduce_id
+from ..operators.partition import reduce_id, together, with_reduce_id
 from ..plans.options import option
 from ..plans.spec import ExchangeSpec
 from ..storage import BACKENDS, shared_root
@@ -153,7 +154,7 @@ class ExchangeStore:
             else:
                 dealt = marked.withColumn("reduce_id", reduce_id(df, spec.keys, spec.num_partitions, spec.mode))
                 if layout == "reduce":
-                    dealt = dealt.repartitionById(spec.num_partitions, F.col("reduce_id"))
+                    dealt = together(dealt, REDUCE_ID, spec.num_partitions, CHECK)
             if spec.order_by or layout == "map":
                 dealt = dealt.sortWithinPartitions("reduce_id", *spec.order_by)
             writer = dealt.write.option("compression", self.compression) if self.compression else dealt.write
