@@ -55,7 +55,8 @@ def together(df: DataFrame, column: str, n: int, check: str) -> DataFrame:
     it off, each value has an equal part of spark.sql.shuffle.partitions, and check, a hash of the row, deals its rows to these: alike in a repeated attempt.
     """
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        return df.hint("rebalance", n, column)
+        # more parts than values, so that few values share one; of more than 2000 parts Spark knows the mean size only
+        return df.hint("rebalance", max(n, min(8 * n, 2000)), column)
     parts = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
     task = F.col(column) * parts + F.pmod(F.xxhash64(check, F.spark_partition_id()), F.lit(parts)).cast("int")
     return df.withColumn("__task", task).repartitionById(n * parts, F.col("__task")).drop("__task")
