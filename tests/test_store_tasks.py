@@ -54,7 +54,7 @@ def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path, small_ta
 
 
 @pytest.mark.parametrize("name", [
-    "store_dump_on_error", "store_read_around_damage", "store_dump_partition", "store_drop_map", "store_range_read", "store_roundtrip",
+    "store_dump_on_error", "store_read_around_damage", "store_dump_partition", "store_drop_map", "store_range_read", "store_roundtrip", "stream_into_store",
 ])
 def test_tasks_of_queries(spark, tmp_path, small_tasks, name):
     for i in range(4):
